@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import as_double, quoted
+
 FLAG_SUFFIX = "_is_missing"
 
 
@@ -43,42 +43,42 @@ def select_family(
     ]
 
 
-def _double(name: str) -> Column:
-    return F.col(f"`{name}`").cast("double")
+def _sum_text(columns: list[str]) -> str:
+    return "(" + (" + ".join(f"coalesce({as_double(c)}, 0D)" for c in columns) or "0D") + ")"
+
+
+def _count_text(columns: list[str]) -> str:
+    return "(" + (" + ".join(f"cast({quoted(c)} is not null as int)" for c in columns) or "0") + ")"
+
+
+def _mean_text(columns: list[str]) -> str:
+    return f"try_divide({_sum_text(columns)}, cast({_count_text(columns)} as double))"
 
 
 def row_sum(columns: list[str]) -> Column:
-    if not columns:
-        return F.lit(0.0)
-    return reduce(add, [F.coalesce(_double(c), F.lit(0.0)) for c in columns])
+    return F.expr(_sum_text(columns))
 
 
 def row_count(columns: list[str]) -> Column:
-    if not columns:
-        return F.lit(0)
-    return reduce(add, [F.col(f"`{c}`").isNotNull().cast("int") for c in columns])
+    return F.expr(_count_text(columns))
 
 
 def row_mean(columns: list[str]) -> Column:
-    return F.try_divide(row_sum(columns), row_count(columns).cast("double"))
+    return F.expr(_mean_text(columns))
 
 
 def row_max(columns: list[str]) -> Column:
-    values = [_double(c) for c in columns]
+    values = [as_double(c) for c in columns]
     if not values:
-        return F.lit(None).cast("double")
-    return values[0] if len(values) == 1 else F.greatest(*values)
+        return F.expr("cast(null as double)")
+    return F.expr(values[0] if len(values) == 1 else f"greatest({', '.join(values)})")
 
 
 def row_std(columns: list[str]) -> Column:
-    """Sample standard deviation; null below two present values."""
+    """Sample standard deviation, from squared distances to the mean; null below two values."""
     if len(columns) < 2:
-        return F.lit(None).cast("double")
-    count = row_count(columns)
-    mean = row_mean(columns)
-    squares = F.aggregate(
-        F.array(*[_double(c) for c in columns]),
-        F.lit(0.0),
-        lambda total, x: total + F.coalesce((x - mean) * (x - mean), F.lit(0.0)),
-    )
-    return F.when(count > 1, F.sqrt(squares / (count - 1)))
+        return F.expr("cast(null as double)")
+    mean, count = _mean_text(columns), _count_text(columns)
+    squares = (f"aggregate(array({', '.join(as_double(c) for c in columns)}), 0D, "
+               f"(total, x) -> total + coalesce((x - {mean}) * (x - {mean}), 0D))")
+    return F.expr(f"case when {count} > 1 then sqrt({squares} / ({count} - 1)) end")

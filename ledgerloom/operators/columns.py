@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.fixed_values import IDENTIFIER_COLUMNS
+from ledgerloom.functions.text import as_double, named, quoted
 
 
 def rename_by_mapping(df: DataFrame, mapping: Mapping[str, str], reverse: bool = False) -> DataFrame:
@@ -44,10 +45,13 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def parse_number(column: Column) -> Column:
-    """Text as a double, null where it is not a number (no Java type suffixes)."""
-    text = F.trim(column.cast("string"))
-    return F.when(~text.rlike("[dDfF]$"), text.try_cast("double"))
+def parse_number(name: str) -> str:
+    """SQL text: a text column as a double, null where it is not a number.
+
+    Spark also reads Java's type suffixes, as in 1.5d; those are no numbers here.
+    """
+    text = f"trim(cast({quoted(name)} as string))"
+    return f"case when not {text} rlike '[dDfF]$' then try_cast({text} as double) end"
 
 
 def is_numeric(kind: T.DataType) -> bool:
@@ -82,9 +86,9 @@ def classify_columns(df: DataFrame, rule: str = "dtype") -> dict[str, str]:
     texts = text_columns(df)
     if not texts:
         return kinds
-    counts = df.agg(
-        *[F.count(F.col(f"`{c}`")).alias(f"present{i}") for i, c in enumerate(texts)],
-        *[F.count(parse_number(F.col(f"`{c}`"))).alias(f"parsed{i}") for i, c in enumerate(texts)],
+    counts = df.selectExpr(
+        *[f"count({quoted(c)}) as present{i}" for i, c in enumerate(texts)],
+        *[f"count({parse_number(c)}) as parsed{i}" for i, c in enumerate(texts)],
     ).first()
     for i, c in enumerate(texts):
         present, parsed = counts[f"present{i}"], counts[f"parsed{i}"]
@@ -96,12 +100,9 @@ def classify_columns(df: DataFrame, rule: str = "dtype") -> dict[str, str]:
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns as doubles; values that do not parse become null."""
     chosen = set(columns)
-    return df.select(*[
-        (
-            (F.col(f"`{f.name}`").cast("double") if is_numeric(f.dataType)
-             else parse_number(F.col(f"`{f.name}`"))).alias(f.name)
-            if f.name in chosen else F.col(f"`{f.name}`")
-        )
+    return df.selectExpr(*[
+        quoted(f.name) if f.name not in chosen
+        else named(as_double(f.name) if is_numeric(f.dataType) else parse_number(f.name), f.name)
         for f in df.schema.fields
     ])
 
@@ -116,17 +117,15 @@ def align_to_features(
     """
     present = set(df.columns)
 
-    def filler(kind: str) -> Column:
+    def filler(kind: str) -> str:
         if fill == "null":
-            return F.lit(None).cast(kind)
-        if fill == "by_type" and kind == "string":
-            return F.lit("Unknown")
-        return F.lit(0).cast(kind)
+            return "null"
+        return "'Unknown'" if fill == "by_type" and kind == "string" else "0"
 
-    return df.select(
-        *[F.col(f"`{c}`") for c in keep],
+    return df.selectExpr(
+        *[quoted(c) for c in keep],
         *[
-            (F.col(f"`{name}`").cast(kind) if name in present else filler(kind)).alias(name)
+            named(f"cast({quoted(name) if name in present else filler(kind)} as {kind})", name)
             for name, kind in features
         ],
     )

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
+from ledgerloom.functions.text import as_double, literal, named, quoted
+from ledgerloom.plans.cells import collected
 from ledgerloom.plans.shared import materialize
 
 # One vector slot per category: more than this many is a sign that the column
@@ -26,19 +28,18 @@ class Scaling:
     moments: dict[str, tuple[float, float]]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.select(*[
-            ((F.col(f"`{c}`") - F.lit(self.moments[c][0])) / F.lit(self.moments[c][1] or 1.0)).alias(c)
-            if c in self.moments else F.col(f"`{c}`")
-            for c in df.columns
-        ])
+        def scaled(c: str) -> str:
+            if c not in self.moments:
+                return quoted(c)
+            mean, spread = self.moments[c]
+            return named(f"({as_double(c)} - {literal(mean)}) / {literal(spread or 1.0)}", c)
+
+        return df.selectExpr(*[scaled(c) for c in df.columns])
 
 
 def fit_scaling(df: DataFrame, columns: Sequence[str]) -> Scaling:
-    row = df.agg(
-        *[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(columns)],
-    ).first()
-    return Scaling({c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0) for i, c in enumerate(columns)})
+    rows = collected(df, columns, {"mean": "avg(value)", "spread": "stddev_pop(value)"})
+    return Scaling({c: (rows[c]["mean"] or 0.0, rows[c]["spread"] or 0.0) for c in columns if c in rows})
 
 
 def standard_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -120,7 +121,8 @@ def one_hot_stages(columns: Sequence[str]) -> list:
         OneHotEncoder(
             inputCols=[f"{c}__index" for c in columns],
             outputCols=[f"{c}__onehot" for c in columns],
-            dropLast=True, handleInvalid="keep"),
+            # The indexer's extra index for unknown values is the last one.
+            dropLast=True),
     ]
 
 
@@ -142,12 +144,12 @@ class OneHot:
         """Replace each column by one 0/1 column per category."""
         arrays = self.model.transform(df).withColumns(
             {f"{c}__onehot": vector_to_array(F.col(f"{c}__onehot")) for c in self.columns})
-        kept = [F.col(f"`{c}`") for c in df.columns if c not in self.columns]
+        kept = [quoted(c) for c in df.columns if c not in self.columns]
         slots = [
-            F.col(f"{c}__onehot")[i].cast("int").alias(f"{c}_{v}")
+            named(f"cast({quoted(f'{c}__onehot')}[{i}] as int)", f"{c}_{v}")
             for c, values in self.categories.items() for i, v in enumerate(values)
         ]
-        return arrays.select(*kept, *slots)
+        return arrays.selectExpr(*kept, *slots)
 
 
 def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> OneHot:

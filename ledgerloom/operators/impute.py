@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom import fixed_values as fv
+from ledgerloom.functions.text import as_double, literal, named, quoted
 from ledgerloom.operators.columns import coerce_numeric, numeric_columns, text_columns
+from ledgerloom.plans.cells import collected
 from ledgerloom.plans.order_stats import exact_modes, exact_quantiles
 from ledgerloom.plans.shared import materialize
 from ledgerloom.sources.applicants import participant_mapping
@@ -128,10 +130,10 @@ class FittedRules:
         filled = coerce_numeric(df, self.numeric)
         for level in self.levels:
             fills = dict(level)
-            filled = filled.select(*[
-                F.coalesce(F.col(f"`{f.name}`"), F.expr(fills[f.name]).cast(f.dataType)).alias(f.name)
-                if f.name in fills else F.col(f"`{f.name}`")
-                for f in filled.schema.fields
+            filled = filled.selectExpr(*[
+                named(f"coalesce({quoted(c)}, cast({fills[c]} as {kind}))", c)
+                if c in fills else quoted(c)
+                for c, kind in filled.dtypes
             ])
         return filled
 
@@ -158,15 +160,15 @@ class ImputeRules:
                 active.append((rule, rule.otherwise, []))
         statistics = _statistics(df, {m for _, text, _ in active for m in _STATISTIC.findall(text)})
 
-        def literal(match) -> str:
+        def constant(match) -> str:
             value = statistics[match.groups()]
             if match.group(1) == "mode":
-                return "'" + (fv.NO_MODE if value is None else value).replace("'", "\\'") + "'"
-            return "null" if value is None else f"{value!r}D"
+                return literal(fv.NO_MODE if value is None else value)
+            return literal(value)
 
         numeric = [r.column for r, _, _ in active if r.numeric]
         numeric += [c for r, _, reads in active for c in reads if c == "target_income"]
-        steps = [(r.column, _STATISTIC.sub(literal, text), reads) for r, text, reads in active]
+        steps = [(r.column, _STATISTIC.sub(constant, text), reads) for r, text, reads in active]
         return FittedRules(list(dict.fromkeys(numeric)), _levels(steps), statistics)
 
 
@@ -199,9 +201,8 @@ def _statistics(df: DataFrame, wanted: set[tuple[str, str]]) -> dict[tuple[str,
     stored = materialize(coerce_numeric(df.select(*numeric, *text), numeric), "statistics")
     found: dict[tuple[str, str], object] = {}
     means = [c for kind, c in sorted(wanted) if kind == "mean"]
-    if means:
-        row = stored.agg(*[F.avg(c).alias(c) for c in means]).first()
-        found.update({("mean", c): row[c] for c in means})
+    rows = collected(stored, means, {"mean": "avg(value)"})
+    found.update({("mean", c): rows[c]["mean"] if c in rows else None for c in means})
     shares = {"median": 0.5, "p25": 0.25, "p75": 0.75}
     by_column: dict[str, list[float]] = {}
     for kind, c in sorted(wanted):
@@ -233,8 +234,8 @@ def fit_medians(df: DataFrame, columns: Sequence[str] | None = None) -> FillValu
 
 def fit_means(df: DataFrame, columns: Sequence[str] | None = None) -> FillValues:
     columns = list(columns or numeric_columns(df))
-    row = df.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in columns]).first()
-    return FillValues({c: row[c] for c in columns})
+    rows = collected(df, columns, {"mean": "avg(value)"})
+    return FillValues({c: rows[c]["mean"] if c in rows else None for c in columns})
 
 
 def fit_modes(df: DataFrame, columns: Sequence[str] | None = None) -> FillValues:
@@ -244,12 +245,14 @@ def fit_modes(df: DataFrame, columns: Sequence[str] | None = None) -> FillValues
 
 def fill_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Nulls of each named column become its constant."""
-    return df.select(*[
-        F.coalesce(F.col(f"`{f.name}`").cast("double") if isinstance(values[f.name], float)
-                   else F.col(f"`{f.name}`"), F.lit(values[f.name])).alias(f.name)
-        if values.get(f.name) is not None else F.col(f"`{f.name}`")
-        for f in df.schema.fields
-    ])
+    def filled(name: str) -> str:
+        constant = values.get(name)
+        if constant is None:
+            return quoted(name)
+        present = as_double(name) if isinstance(constant, float) else quoted(name)
+        return named(f"coalesce({present}, {literal(constant)})", name)
+
+    return df.selectExpr(*[filled(c) for c in df.columns])
 
 
 def pin_places(df: DataFrame) -> DataFrame:
@@ -308,16 +311,15 @@ def anonymize(df: DataFrame, column: str, name: str | None = None, salt: str = "
 
 def columns_with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Which columns hold a null, from one aggregate (fix this at fit time)."""
-    if not columns:
-        return []
-    row = df.agg(*[
-        F.bool_or(F.col(f"`{c}`").isNull()).alias(f"g{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if row[f"g{i}"]]
+    rows = collected(
+        df, columns, {"gap": "bool_or(value)"}, cell=lambda c: f"{quoted(c)} is null")
+    return [c for c in columns if c in rows and rows[c]["gap"]]
 
 
 def missing_indicators(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add ``<column>_is_missing`` 0/1 flags."""
-    return df.withColumns({f"{c}_is_missing": F.col(f"`{c}`").isNull().cast("int") for c in columns})
+    return df.selectExpr(
+        "*", *[named(f"cast({quoted(c)} is null as int)", f"{c}_is_missing") for c in columns])
 
 
 def impute_applicants(df: DataFrame, rules: Sequence[Rule] | None = None,

@@ -1,46 +1,36 @@
 """Profiles of whole tables and screening of features.
 
-Each report reads the table once: one aggregate over all columns yields one row,
-which is then turned into one row per feature.
+Each report reads the table once and groups its cells by column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.fixed_values import SCREEN_CORRELATION, SCREEN_MISSING
+from ledgerloom.functions.rowwise import row_count
+from ledgerloom.functions.text import as_double, literal, quoted
 from ledgerloom.operators.columns import numeric_columns
+from ledgerloom.plans.cells import by_column, collected
 from ledgerloom.plans.order_stats import exact_quantiles
 from ledgerloom.plans.shared import materialize
 
 
-def _feature_rows(df: DataFrame, columns: Sequence[str], fields: dict) -> DataFrame:
-    """One row per column; ``fields`` maps a name to a function column -> aggregate."""
-    one = df.agg(*[
-        make(c).alias(f"{field}{i}")
-        for i, c in enumerate(columns) for field, make in fields.items()
-    ])
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("feature"), *[F.col(f"{field}{i}").alias(field) for field in fields])
-        for i, c in enumerate(columns)
-    ])
-    return one.select(F.inline(rows))
+_NULL_SHARE = {"missing_fraction": "avg(cast(value as double))"}
 
 
-def _null_share(column: str) -> Column:
-    return F.avg(F.col(f"`{column}`").isNull().cast("double"))
+def _is_null(column: str) -> str:
+    return f"{quoted(column)} is null"
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(feature, missing_fraction)."""
-    return _feature_rows(df, columns or df.columns, {"missing_fraction": _null_share})
+    return by_column(df, columns or df.columns, _NULL_SHARE, cell=_is_null)
 
 
 def missing_fractions(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, float]:
@@ -58,7 +48,7 @@ def missing_above(df: DataFrame, limit: float = 0.5, columns: Sequence[str] | No
 
 def residual_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, nulls)."""
-    return _feature_rows(df, columns, {"nulls": lambda c: F.count_if(F.col(f"`{c}`").isNull())})
+    return by_column(df, columns, {"nulls": "count_if(value)"}, cell=_is_null)
 
 
 def missing_reduction(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -77,14 +67,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, sample std, min, exact quartiles and max of numeric columns."""
     columns = list(columns or numeric_columns(df))
     stored = materialize(df.select(*columns), "describe")
-    value = lambda c: F.col(f"`{c}`").cast("double")
-    moments = _feature_rows(stored, columns, {
-        "count": lambda c: F.count(value(c)),
-        "mean": lambda c: F.avg(value(c)),
-        "std": lambda c: F.stddev_samp(value(c)),
-        "min": lambda c: F.min(value(c)),
-        "max": lambda c: F.max(value(c)),
-    })
+    moments = by_column(stored, columns, {
+        "count": "count(value)", "mean": "avg(value)", "std": "stddev_samp(value)",
+        "min": "min(value)", "max": "max(value)"})
     quartiles = exact_quantiles(stored, {c: [0.25, 0.5, 0.75] for c in columns})
     rows = [(c, *[quartiles[(c, s)] for s in (0.25, 0.5, 0.75)]) for c in columns]
     table = df.sparkSession.createDataFrame(
@@ -96,29 +81,22 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def type_counts(df: DataFrame) -> DataFrame:
     """(dtype, columns, present_values): columns and present values per type."""
     kinds = dict(df.dtypes)
-    present = _feature_rows(df, df.columns, {"present": lambda c: F.count(F.col(f"`{c}`"))})
-    dtype = F.create_map(*[F.lit(x) for item in kinds.items() for x in item])[F.col("feature")]
+    present = by_column(df, df.columns, {"present": "count_if(not value)"}, cell=_is_null)
+    pairs = ", ".join(f"{literal(c)}, {literal(kind)}" for c, kind in kinds.items())
+    dtype = F.expr(f"map({pairs})[feature]")
     return present.groupBy(dtype.alias("dtype")).agg(
         F.count("*").alias("columns"), F.sum("present").alias("present_values"))
 
 
-def _pairwise_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation over rows where both are present, null when undefined."""
-    left, right = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    spread = F.sqrt(F.var_pop(left) * F.var_pop(right))
-    return F.try_divide(F.covar_pop(x, y), spread)
-
-
-def _abs_corr(target: str):
-    def make(column: str) -> Column:
-        x, y = F.col(f"`{column}`").cast("double"), F.col(f"`{target}`").cast("double")
-        return F.coalesce(F.abs(_pairwise_corr(x, y)), F.lit(0.0))
-    return make
+# Absolute Pearson correlation over the rows where both are present, 0 when undefined.
+_ABS_CORR = """coalesce(abs(try_divide(covar_pop(value, y),
+    sqrt(var_pop(case when y is not null then value end)
+         * var_pop(case when value is not null then y end)))), 0D)"""
 
 
 def corr_with_target(df: DataFrame, columns: Sequence[str], target: str = "target") -> DataFrame:
     """(feature, correlation): absolute, 0 where undefined."""
-    return _feature_rows(df, columns, {"correlation": _abs_corr(target)})
+    return by_column(df, columns, {"correlation": _ABS_CORR}, beside={"y": as_double(target)})
 
 
 def corr_extremes(
@@ -136,8 +114,10 @@ def feature_screen(
     missing_limit: float = SCREEN_MISSING, correlation_limit: float = SCREEN_CORRELATION,
 ) -> DataFrame:
     """(feature, missing_fraction, correlation, dropped), from one scan."""
-    table = _feature_rows(
-        df, columns, {"missing_fraction": _null_share, "correlation": _abs_corr(target)})
+    table = by_column(
+        df, columns,
+        {"missing_fraction": "avg(cast(value is null as double))", "correlation": _ABS_CORR},
+        beside={"y": as_double(target)})
     dropped = (F.col("missing_fraction") > missing_limit) & (F.col("correlation") < correlation_limit)
     return table.withColumn("dropped", dropped)
 
@@ -158,9 +138,9 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     columns = list(columns)
     size = len(columns)
-    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    means = values.agg(*[F.avg(c).alias(c) for c in values.columns]).first()
-    shift = np.array([means[i] or 0.0 for i in range(size)])
+    values = df.selectExpr(*[f"{as_double(c)} as c{i}" for i, c in enumerate(columns)])
+    means = collected(df, columns, {"mean": "avg(value)"})
+    shift = np.array([(means[c]["mean"] if c in means else None) or 0.0 for c in columns])
 
     def partial_sums(batches):
         total = np.zeros((4, size, size))
@@ -189,7 +169,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = sums.select("i", "j", F.when(
         defined, F.try_divide(covariance, F.sqrt(spread_x * spread_y))).alias("correlation"))
     mirrored = pairs.union(pairs.where("i < j").select("j", "i", "correlation"))
-    names = F.array(*[F.lit(c) for c in columns])
+    names = F.expr(f"array({', '.join(literal(c) for c in columns)})")
     return mirrored.select(
         names[F.col("i").cast("int")].alias("feature_x"),
         names[F.col("j").cast("int")].alias("feature_y"),
@@ -199,7 +179,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def feature_completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add available_features, total_features and their share in percent."""
-    available = reduce(add, [F.col(f"`{c}`").isNotNull().cast("int") for c in columns])
+    available = row_count(list(columns))
     return df.withColumns({
         "available_features": available,
         "total_features": F.lit(len(columns)),

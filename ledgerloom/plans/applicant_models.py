@@ -143,14 +143,22 @@ def score_capability(df: DataFrame, scorer: Scorer, as_income: bool = False) ->
 
 
 def score_combined(
-    df: DataFrame, scorer: Scorer, threshold: float = fv.DEFAULT_THRESHOLD
+    df: DataFrame, income: Scorer, repayment: Scorer, threshold: float | str = fv.DEFAULT_THRESHOLD
 ) -> DataFrame:
-    """Repayment and income over one feature vector."""
-    vectors = _income_columns(scorer.vectors(df), scorer.income).select(
-        scorer.key, *INCOME_OUTPUT, "features")
-    scored = train.probability_of_one(scorer.repayment.transform(vectors), "probability_good")
-    return score.apply_threshold(scored.drop("prediction"), "probability_good", threshold).select(
-        scorer.key, *INCOME_OUTPUT, "prediction",
+    """Income and repayment of the same rows, each scorer with its own feature vector.
+
+    The key travels through both projections, so the rows need no join.
+    """
+    wide = df.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    keep = ["_row"] + ([threshold] if isinstance(threshold, str) else [])
+    incomes = _income_columns(income.vectors(wide, keep), income.income)
+    outputs = F.struct(*[F.col(c) for c in INCOME_OUTPUT])
+    again = incomes.select("_row.*", outputs.alias("_income"))
+    scored = train.probability_of_one(
+        repayment.repayment.transform(repayment.vectors(again, ["_income"] + keep[1:])),
+        "probability_good").drop("prediction")
+    return score.apply_threshold(scored, "probability_good", threshold).select(
+        income.key, "_income.*", "prediction",
         F.col("probability_good").alias("probability"), "status", "threshold")
 
 

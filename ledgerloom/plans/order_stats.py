@@ -8,13 +8,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import as_double, literal, named, quoted
+from ledgerloom.plans.cells import collected
+
 # A column is handed to the exact aggregate only when at most this many of its
 # rows are still candidates, which bounds the aggregate's memory.
 CANDIDATE_ROWS = 200_000
 SKETCH_ERROR = 0.001
 
 
-def _in_groups(items: list, size: int = 60):
+def _in_groups(items: list, size: int = 20):
     for start in range(0, len(items), size):
         yield items[start:start + size]
 
@@ -23,7 +26,7 @@ def _one_row(df: DataFrame, expressions: dict) -> dict:
     """Evaluate global aggregates, a bounded number of expressions per job."""
     values: dict = {}
     for group in _in_groups(list(expressions.items())):
-        row = df.agg(*[e.alias(f"v{i}") for i, (_, e) in enumerate(group)]).first()
+        row = df.selectExpr(*[f"{e} as v{i}" for i, (_, e) in enumerate(group)]).first()
         values.update({key: row[f"v{i}"] for i, (key, _) in enumerate(group)})
     return values
 
@@ -43,25 +46,29 @@ def exact_quantiles(
     columns = list(wanted)
     if not columns:
         return {}
-    value = {c: F.col(f"`{c}`").cast("double") for c in columns}
-    counts = _one_row(df, {c: F.count(value[c]) for c in columns})
-
-    items = []
-    result: dict[tuple[str, float], float | None] = {}
-    for c in columns:
-        for share in wanted[c]:
-            if counts[c] == 0:
-                result[(c, share)] = None
-            else:
-                items.append({
-                    "key": (c, share), "column": c, "rank": share * (counts[c] - 1),
-                    "low": None, "high": None, "below": 0, "inside": counts[c],
-                    "open": counts[c],
-                })
-
-    def candidates(item):
+    value = {c: as_double(c) for c in columns}
+    found = collected(df, columns, {"n": "count(value)"})
+    counts = {c: found[c]["n"] if c in found else 0 for c in columns}
+    result: dict[tuple[str, float], float | None] = {
+        (c, share): None for c in columns if counts[c] == 0 for share in wanted[c]}
+
+    small = [c for c in columns if 0 < counts[c] <= candidate_rows]
+    shares = sorted({share for c in small for share in wanted[c]})
+    exact = f"percentile(value, array({', '.join(literal(float(s)) for s in shares)}))"
+    for c, row in collected(df, small, {"q": exact}).items():
+        result.update({(c, s): row["q"][shares.index(s)] for s in wanted[c]})
+
+    items = [
+        {"key": (c, share), "column": c, "rank": share * (counts[c] - 1), "low": None,
+         "high": None, "below": 0, "inside": counts[c], "open": counts[c]}
+        for c in columns if counts[c] > candidate_rows for share in wanted[c]
+    ]
+
+    def candidates(item) -> str:
         v = value[item["column"]]
-        return v if item["low"] is None else F.when(v.between(item["low"], item["high"]), v)
+        if item["low"] is None:
+            return v
+        return f"case when {v} between {literal(item['low'])} and {literal(item['high'])} then {v} end"
 
     while True:
         wide = [i for i in items if i["open"] > candidate_rows]
@@ -75,14 +82,14 @@ def exact_quantiles(
             result[i["key"]] = i["low"]
         else:
             share = (i["rank"] - i["below"]) / (i["inside"] - 1) if i["inside"] > 1 else 0.0
-            finals[i["key"]] = F.percentile(candidates(i), min(1.0, max(0.0, share)))
+            finals[i["key"]] = f"percentile({candidates(i)}, {literal(min(1.0, max(0.0, share)))})"
     result.update(_one_row(df, finals))
     return result
 
 
 def _narrow(df: DataFrame, items: list[dict], candidates, value) -> None:
     """One bracketing round for every item that still has many candidates."""
-    frame = df.select(*[candidates(i).alias(f"c{n}") for n, i in enumerate(items)])
+    frame = df.selectExpr(*[f"{candidates(i)} as c{n}" for n, i in enumerate(items)])
     brackets = []
     for n, item in enumerate(items):
         spread = max(item["inside"] - 1, 1)
@@ -97,10 +104,10 @@ def _narrow(df: DataFrame, items: list[dict], candidates, value) -> None:
 
     expressions = {}
     for n, item in enumerate(items):
-        v, (low, high) = value[item["column"]], item["new"]
-        expressions[(n, "below")] = F.count_if(v < low)
-        expressions[(n, "inside")] = F.count_if(v.between(low, high))
-        expressions[(n, "open")] = F.count_if((v > low) & (v < high))
+        v, low, high = value[item["column"]], literal(item["new"][0]), literal(item["new"][1])
+        expressions[(n, "below")] = f"count_if({v} < {low})"
+        expressions[(n, "inside")] = f"count_if({v} between {low} and {high})"
+        expressions[(n, "open")] = f"count_if({v} > {low} and {v} < {high})"
     counts = _one_row(df, expressions)
     for n, item in enumerate(items):
         below, inside = counts[(n, "below")], counts[(n, "inside")]
@@ -118,7 +125,7 @@ def exact_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     """
     if not columns:
         return {}
-    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot(
+    long = df.selectExpr(*[named(f"cast({quoted(c)} as string)", c) for c in columns]).unpivot(
         [], list(columns), "feature", "value"
     ).where("value is not null")
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))

@@ -8,11 +8,10 @@ from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.fixed_values import DEFAULT_MAPPING, IMPUTED_DATES, PARTICIPANT_MAPPING_CSV, TEXT_COLUMNS
-from ledgerloom.functions.scalars import finite_or_null
+from ledgerloom.functions.text import named, quoted
 
 
 def participant_mapping() -> dict[str, str]:
@@ -59,9 +58,9 @@ def null_out_infinities(df: DataFrame, columns: Iterable[str] | None = None) ->
     """NaN and infinities of floating columns become null, in one projection."""
     chosen = set(df.columns if columns is None else columns)
     floating = (T.DoubleType, T.FloatType)
-    return df.select(*[
-        finite_or_null(F.col(f"`{f.name}`")).alias(f.name)
-        if f.name in chosen and isinstance(f.dataType, floating) else F.col(f"`{f.name}`")
+    return df.selectExpr(*[
+        named(f"case when abs({quoted(f.name)}) < double('infinity') then {quoted(f.name)} end", f.name)
+        if f.name in chosen and isinstance(f.dataType, floating) else quoted(f.name)
         for f in df.schema.fields
     ])
 
