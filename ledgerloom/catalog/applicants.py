@@ -6,7 +6,7 @@ grow with the slot number as they do in bureau data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.applicants import participant_mapping
@@ -31,16 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _order_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-order sums; decimals make them independent of the order of addition."""
-    exact = lambda c: F.sum(c.cast("decimal(18,4)")).cast("double")
-    price = F.col("l_extendedprice")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        exact(price * (1 - F.col("l_discount"))).alias("bal"),
-        exact(price * (1 + F.col("l_tax"))).alias("lim"),
-        (F.count("*") * 100).cast("double").alias("emi"),
-        exact(F.col("l_quantity")).alias("rep"),
-        F.count_if(F.col("l_returnflag") == "R").cast("double").alias("inq"),
-        F.count_if(F.col("l_linestatus") == "O").cast("double").alias("lns"),
-    )
+    exact = "cast(sum(cast({} as decimal(18,4))) as double) as {}"
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*map(F.expr, [
+        exact.format("l_extendedprice * (1 - l_discount)", "bal"),
+        exact.format("l_extendedprice * (1 + l_tax)", "lim"),
+        "cast(count(*) * 100 as double) as emi",
+        exact.format("l_quantity", "rep"),
+        "cast(count_if(l_returnflag = 'R') as double) as inq",
+        "cast(count_if(l_linestatus = 'O') as double) as lns",
+    ]))
 
 
 def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +73,41 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slots(spark, sf_dir).groupBy("o_custkey").agg(*[F.expr(c) for c in columns])
 
 
-def _unless(divisor: int, value: Column, remainder: int = 0) -> Column:
-    """The value, null for one id in ``divisor``."""
-    return F.when(F.col("c_custkey") % divisor != remainder, value)
+# Columns outside the slots: value, and which ids (modulo, remainder) have none.
+_OTHER_COLUMNS = {
+    "business_balance": ("round(c_acctbal * 3, 2)", 6, 0),
+    "active_credit_limit_1": ("active_credit_limit_1", None, 0),
+    "credit_limit_recent_1": ("credit_limit_1", None, 0),
+    "loan_amt_large_tenure": ("loan_amt_large_tenure", None, 0),
+    "primary_loan_amt": ("primary_loan_amt", None, 0),
+    "loan_amt_recent": ("loan_amt_1", None, 0),
+    "total_inquiries_recent": ("total_inquiries_1", None, 0),
+    "total_loan_recent": ("total_loans_1", None, 0),
+    "total_loans_2_dup1": ("total_loans_2", 10, 0),
+    "credit_score": ("cast(c_custkey * 37 % 601 + 300 as double)", 7, 0),
+    "closed_loan": ("closed", 8, 0),
+    "closed_total_loans": ("closed", None, 0),
+    "score_comments": ("if(c_custkey % 3 = 0, 'Low Risk', 'Not Scored')", 10, 0),
+    "score_type": ("'PERFORM CONSUMER 2.0'", 6, 1),
+    "gender": ("if(c_custkey % 2 = 0, 'MALE', 'FEMALE')", 13, 0),
+    "marital_status": ("if(c_custkey % 5 < 3, 'MARRIED', 'SINGLE')", 17, 0),
+    "city": ("n_name", 9, 0),
+    "state": ("r_name", 14, 0),
+    "residence_ownership": ("c_mktsegment", 5, 0),
+    "target": ("round((c_acctbal + 1000) * 10, 2)", 97, 0),
+    "device_model": (
+        "elt(cast(c_custkey % 3 + 1 as int), 'iPhone 12', 'samsung A5', 'Moto G')", 4, 0),
+    "device_category": ("if(c_custkey % 3 < 2, 'SMART PHONE', 'FEATURE PHONE')", 4, 1),
+    "platform": ("if(c_custkey % 3 = 0, 'IOS', 'Android')", 4, 2),
+    "device_manufacturer": (
+        "elt(cast(c_custkey % 3 + 1 as int), 'Apple', 'Samsung', 'Motorola')", 4, 3),
+    "last_updated": ("latest_order", 15, 0),
+    "transaction_date": ("latest_order", 12, 0),
+}
+
+
+def _except(value: str, divisor: int | None, remainder: int) -> str:
+    return value if divisor is None else f"if(c_custkey % {divisor} <> {remainder}, {value}, null)"
 
 
 def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,42 +119,13 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nation, customer.c_nationkey == nation.n_nationkey, "left")
         .join(region, nation.n_regionkey == region.r_regionkey, "left")
     )
-    key = F.col("c_custkey")
-    phone = F.element_at(F.array(F.lit("iPhone 12"), F.lit("samsung A5"), F.lit("Moto G")),
-                         (key % 3 + 1).cast("int"))
     slots = [f"{prefix}{k}" for prefix, (_, numbers) in SLOT_FAMILIES.items() for k in numbers]
-    return joined.select(
-        key.alias("unique_id"),
-        F.col("c_nationkey").cast("string").alias("pin code"),
-        _unless(11, (key % 60 + 18).cast("double")).alias("age"),
+    return joined.selectExpr(
+        "c_custkey as unique_id",
+        "cast(c_nationkey as string) as `pin code`",
+        f"{_except('cast(c_custkey % 60 + 18 as double)', 11, 0)} as age",
         *slots,
-        _unless(6, F.round(F.col("c_acctbal") * 3, 2)).alias("business_balance"),
-        "active_credit_limit_1",
-        F.col("credit_limit_1").alias("credit_limit_recent_1"),
-        "loan_amt_large_tenure", "primary_loan_amt",
-        F.col("loan_amt_1").alias("loan_amt_recent"),
-        F.col("total_inquiries_1").alias("total_inquiries_recent"),
-        F.col("total_loans_1").alias("total_loan_recent"),
-        _unless(10, F.col("total_loans_2")).alias("total_loans_2_dup1"),
-        _unless(7, (key * 37 % 601 + 300).cast("double")).alias("credit_score"),
-        _unless(8, F.col("closed")).alias("closed_loan"),
-        F.col("closed").alias("closed_total_loans"),
-        _unless(10, F.when(key % 3 == 0, "Low Risk").otherwise("Not Scored")).alias("score_comments"),
-        _unless(6, F.lit("PERFORM CONSUMER 2.0"), 1).alias("score_type"),
-        _unless(13, F.when(key % 2 == 0, "MALE").otherwise("FEMALE")).alias("gender"),
-        _unless(17, F.when(key % 5 < 3, "MARRIED").otherwise("SINGLE")).alias("marital_status"),
-        _unless(9, F.col("n_name")).alias("city"),
-        _unless(14, F.col("r_name")).alias("state"),
-        _unless(5, F.col("c_mktsegment")).alias("residence_ownership"),
-        _unless(97, F.round((F.col("c_acctbal") + 1000) * 10, 2)).alias("target"),
-        _unless(4, phone).alias("device_model"),
-        _unless(4, F.when(key % 3 < 2, "SMART PHONE").otherwise("FEATURE PHONE"), 1)
-        .alias("device_category"),
-        _unless(4, F.when(key % 3 == 0, "IOS").otherwise("Android"), 2).alias("platform"),
-        _unless(4, F.when(key % 3 == 0, "Apple").when(key % 3 == 1, "Samsung").otherwise("Motorola"), 3)
-        .alias("device_manufacturer"),
-        _unless(15, F.col("latest_order")).alias("last_updated"),
-        _unless(12, F.col("latest_order")).alias("transaction_date"),
+        *[f"{_except(*rule)} as {name}" for name, rule in _OTHER_COLUMNS.items()],
     )
 
 

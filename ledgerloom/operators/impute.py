@@ -262,7 +262,7 @@ def pin_places(df: DataFrame) -> DataFrame:
 
 def impute_from_lookup(
     df: DataFrame, lookup: DataFrame, key: str, columns: Sequence[str],
-    fallback: Mapping[str, str] | None = None,
+    fallback: Mapping[str, str | None] | None = None,
 ) -> DataFrame:
     """Fill gaps from a lookup table (unique ``key``), then with the fallback.
 
@@ -277,9 +277,9 @@ def impute_from_lookup(
         F.col(key).cast("string").alias("_lookup_key"),
         *[F.col(c).alias(n) for c, n in names.items()])
     joined = df.join(right, F.col(f"`{key}`").cast("string") == F.col("_lookup_key"), "left")
-    return joined.select(*[
-        F.coalesce(F.col(f"`{c}`"), F.col(names[c]), F.lit(fallback[c])).alias(c)
-        if c in names else F.col(f"`{c}`")
+    return joined.selectExpr(*[
+        named(f"coalesce({quoted(c)}, {names[c]}, {literal(fallback[c])})", c)
+        if c in names else quoted(c)
         for c in df.columns
     ])
 
@@ -325,12 +325,11 @@ def missing_indicators(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def impute_applicants(df: DataFrame, rules: Sequence[Rule] | None = None,
                       lookup: DataFrame | None = None) -> DataFrame:
     """The whole imputation of an applicant table with raw column names."""
+    fitted = ImputeRules(rules_by_id() if rules is None else rules).fit(df)
     places = [c for c in ("city", "state") if c in df.columns]
     if "pin" in df.columns and places:
+        # The lookup goes first: the place rules then fill what it left open.
         lookup = pin_places(df) if lookup is None else lookup
-        looked_up = impute_from_lookup(df, lookup, "pin", places)
-    else:
-        looked_up = df
-    fitted = ImputeRules(rules_by_id() if rules is None else rules).fit(df)
-    filled = stamp_imputation(fill_dates(fitted.transform(looked_up)))
+        df = impute_from_lookup(df, lookup, "pin", places, fallback={c: None for c in places})
+    filled = stamp_imputation(fill_dates(fitted.transform(df)))
     return anonymize(filled, "pin") if "pin" in df.columns else filled
