@@ -84,6 +84,8 @@ def read_applicants(
 def request_schema() -> T.StructType:
     """Every field a scoring request may carry; absent ones read as null."""
     names = list(dict.fromkeys(participant_mapping().values()))
+    # The second column of that meaning, under the name deduplication gives it.
+    names.insert(names.index("total_loans_2") + 1, "total_loans_2_dup1")
     totals = ["total_loan_amount", "total_credit_limit", "total_emi", "threshold"]
     overall = [
         "total_credit_limit_overall", "total_balance_overall", "total_emi_overall",
