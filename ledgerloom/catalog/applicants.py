@@ -30,8 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _order_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-order sums; decimals make them independent of the order of addition."""
-    exact = "cast(sum(cast({} as decimal(18,4))) as double) as {}"
+    """Per-order sums. Amounts have four decimals at most, so they add up exactly as
+    whole ten-thousandths, in any order."""
+    exact = "sum(cast(rint(({}) * 10000) as bigint)) / 10000D as {}"
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*map(F.expr, [
         exact.format("l_extendedprice * (1 - l_discount)", "bal"),
         exact.format("l_extendedprice * (1 + l_tax)", "lim"),
@@ -57,14 +58,14 @@ def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     def at(k: int, value: str) -> str:
-        return f"round(max(case when k = {k} then {value} end), 4)"
+        return f"max(case when k = {k} then {value} end)"
 
     columns = [
         f"{at(k, value)} as {prefix}{k}"
         for prefix, (value, numbers) in SLOT_FAMILIES.items() for k in numbers
     ]
     columns += [
-        "round(max(o_totalprice), 4) as primary_loan_amt",
+        "max(o_totalprice) as primary_loan_amt",
         f"{at(10, 'o_totalprice')} as loan_amt_large_tenure",
         f"{at(1, 'if(o_orderstatus = \'O\', lim, null)')} as active_credit_limit_1",
         "cast(count_if(o_orderstatus = 'F') as double) as closed",

@@ -53,14 +53,17 @@ class Preparation:
 def fit_preparation(
     rows: DataFrame, key: str, target: str, drop: Sequence[str] = tuple(fv.ID_LIKE_TEXT_COLUMNS)
 ) -> Preparation:
-    """Fit on the training rows only: flags, screening, encoding, medians, scaling, categories."""
+    """Fit on the training rows only: flags, screening, encoding, medians, scaling, categories.
+
+    ``rows`` is read twice before its features are stored, so it should be stored too.
+    """
     excluded = {key, target, *drop}
     inputs = [(n, t) for n, t in rows.dtypes
               if n not in excluded and (t == "string" or n in numeric_columns(rows))]
-    stored = materialize(rows.select(key, target, *[n for n, _ in inputs]), "training-rows")
-    flagged = impute.columns_with_gaps(stored, [n for n, _ in inputs])
+    chosen = rows.select(*[F.col(f"`{c}`") for c in (key, target, *[n for n, _ in inputs])])
+    flagged = impute.columns_with_gaps(chosen, [n for n, _ in inputs])
     engineered = materialize(
-        features.engineer_features(impute.missing_indicators(stored, flagged)), "engineered")
+        features.engineer_features(impute.missing_indicators(chosen, flagged)), "engineered")
     candidates = numeric_columns(engineered, excluded)
     kept = screen_features(engineered, candidates, target)
     texts = text_columns(engineered, excluded)
@@ -68,7 +71,10 @@ def fit_preparation(
     categorical = [c for c in texts if c not in encoded]
     encoding = encode.TargetEncode(encoded).fit(engineered, target)
     numeric = kept + encoded
-    numbers = materialize(encoding.transform(engineered), "encoded")
+    numbers = encoding.transform(engineered)
+    if len(encoding.few) < len(encoded):
+        # Some columns are looked up by joins: make them once, not in every pass below.
+        numbers = materialize(numbers, "encoded")
     medians = {
         # A column without any value in training contributes a constant.
         c: 0.0 if m is None else float(m)
@@ -247,7 +253,7 @@ def _slot_names(p: Preparation) -> list[str]:
 
 def load_scorer(spark: SparkSession, path: str) -> Scorer:
     metadata = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
-    encoding = encode.TargetEncoding(
+    encoding = encode.TargetEncoding.of(
         metadata["encoded"], spark.read.parquet(f"{path}/target_encoding"), metadata["prior"])
     preparation = Preparation(
         [tuple(i) for i in metadata["inputs"]], metadata["flagged"], metadata["numeric"],

@@ -32,11 +32,15 @@ def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def _offsets(totals: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Sum over the earlier partitions; one row per partition, so one small task."""
+    """Sum over the earlier partitions; one row per partition, so one small task.
+
+    Stored, so that the planner sees how small it is and does not shuffle the rows
+    it is joined to.
+    """
     earlier = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
+    return materialize(totals.select(
         PART, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in names]
-    )
+    ), "offsets")
 
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:

@@ -48,7 +48,17 @@ def test_lookups_work_above_the_broadcast_size(spark, threshold):
         joined = "BroadcastHashJoin" in _plan(counted)
         assert joined == (threshold == "10MB")
         assert counted.where("pin = 'hot'").select("n").distinct().collect()[0]["n"] == 1000
-        encoded = encode.TargetEncode(["pin"]).fit(df, "target").transform(df)
-        assert counted.count() == encoded.count() == 3000
+        assert counted.count() == 3000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+
+
+def test_many_and_few_categories_encode_alike(spark, monkeypatch):
+    df = spark.range(3000).selectExpr(
+        "id", "if(id % 3 = 0, 'hot', concat('p', id % 50)) as pin", "cast(id % 7 as double) as target")
+    few = encode.TargetEncode(["pin"]).fit(df, "target")
+    monkeypatch.setattr(encode, "FEW_CATEGORIES", 5)
+    many = encode.TargetEncode(["pin"]).fit(df, "target")
+    assert list(few.few) == ["pin"] and not many.few
+    assert "Join" in _plan(many.transform(df)) and "Join" not in _plan(few.transform(df))
+    assert few.transform(df).exceptAll(many.transform(df)).count() == 0
