@@ -47,11 +47,11 @@ _MEANING_CHAIN, _MEANING_LAST = _sql_chain(impute.rules_by_meaning(), "app", _ME
 
 
 def _rounded_sql(columns, text=()) -> str:
-    return ", ".join(c if c in text else f"round({c}, 4) as {c}" for c in columns)
+    return ", ".join(c if c in text else f"round({c}, 8) as {c}" for c in columns)
 
 
 def _rounded(df, columns):
-    return df.select("*") if not columns else df.withColumns({c: F.round(c, 4) for c in columns})
+    return df.select("*") if not columns else df.withColumns({c: F.round(c, 8) for c in columns})
 
 
 @register("impute_rules_numeric", _ID_CHAIN + f"""
@@ -94,9 +94,9 @@ def constant_fill(spark, sf_dir):
 
 
 @register("scaled_source_fill", """
-select id, var_0, round(coalesce(var_1, var_0 * 0.4), 4) as var_1,
-  round(coalesce(var_3, var_2 * 0.5), 4) as var_3, round(coalesce(var_7, var_6 * 0.4), 4) as var_7,
-  round(coalesce(var_9, var_6 * 0.008), 4) as var_9 from raw""")
+select id, var_0, round(coalesce(var_1, var_0 * 0.4), 8) as var_1,
+  round(coalesce(var_3, var_2 * 0.5), 8) as var_3, round(coalesce(var_7, var_6 * 0.4), 8) as var_7,
+  round(coalesce(var_9, var_6 * 0.008), 8) as var_9 from raw""")
 def scaled_source_fill(spark, sf_dir):
     raw = raw_applicants(spark, sf_dir)
     filled = _rules("var_1", "var_3", "var_7", "var_9").fit(raw).transform(raw)
@@ -105,9 +105,9 @@ def scaled_source_fill(spark, sf_dir):
 
 
 @register("target_scaled_fill", """
-select id, round(coalesce(var_0, target_income * 0.125), 4) as var_0,
-  round(coalesce(var_2, target_income * 4), 4) as var_2,
-  round(coalesce(var_6, target_income * 30), 4) as var_6 from raw""")
+select id, round(coalesce(var_0, target_income * 0.125), 8) as var_0,
+  round(coalesce(var_2, target_income * 4), 8) as var_2,
+  round(coalesce(var_6, target_income * 30), 8) as var_6 from raw""")
 def target_scaled_fill(spark, sf_dir):
     raw = raw_applicants(spark, sf_dir).select("id", "var_0", "var_2", "var_6", "target_income")
     filled = _rules("var_0", "var_2", "var_6").fit(raw).transform(raw)
@@ -115,9 +115,9 @@ def target_scaled_fill(spark, sf_dir):
 
 
 @register("target_scaled_fill_without_target", """
-select id, round(coalesce(var_0, (select quantile_cont(var_0, 0.5) from raw)), 4) as var_0,
-  round(coalesce(var_2, (select quantile_cont(var_2, 0.5) from raw)), 4) as var_2,
-  round(coalesce(var_6, 0), 4) as var_6 from raw""")
+select id, round(coalesce(var_0, (select quantile_cont(var_0, 0.5) from raw)), 8) as var_0,
+  round(coalesce(var_2, (select quantile_cont(var_2, 0.5) from raw)), 8) as var_2,
+  round(coalesce(var_6, 0), 8) as var_6 from raw""")
 def target_scaled_fill_without_target(spark, sf_dir):
     raw = raw_applicants(spark, sf_dir).select("id", "var_0", "var_2", "var_6")
     filled = _rules("var_0", "var_2", "var_6").fit(raw).transform(raw)
@@ -130,12 +130,12 @@ def target_scaled_fill_without_target(spark, sf_dir):
 s as (
   select *, coalesce(var_32, case when target_income > 50000 and age_filled > 30 then 750 else 675 end)
     as score_filled from a)
-select id, round(age_filled, 4) as age,
+select id, round(age_filled, 8) as age,
   coalesce(var_8, case when target_income > 60000 then target_income * 2.5 else 0 end) as var_8,
   coalesce(var_15, case when age_filled < 35 then 3 else 1 end) as var_15,
   score_filled as var_32,
   coalesce(var_37, case when score_filled > 700 then 1 else 0 end) as var_37,
-  round(coalesce(var_40, case when age_filled > 40 then var_53 * 0.5 else 0 end), 4) as var_40
+  round(coalesce(var_40, case when age_filled > 40 then var_53 * 0.5 else 0 end), 8) as var_40
 from s""")
 def threshold_fill(spark, sf_dir):
     columns = ["age", "var_8", "var_15", "var_32", "var_37", "var_40"]
@@ -147,7 +147,7 @@ def threshold_fill(spark, sf_dir):
 @register("quantile_gated_median", """
 select id, round(coalesce(var_4, case
   when target_income > (select quantile_cont(target_income, 0.75) from raw)
-  then (select quantile_cont(var_4, 0.5) from raw) else 0 end), 4) as var_4 from raw""")
+  then (select quantile_cont(var_4, 0.5) from raw) else 0 end), 8) as var_4 from raw""")
 def quantile_gated_median(spark, sf_dir):
     raw = raw_applicants(spark, sf_dir).select("id", "var_4", "target_income")
     return _rounded(_rules("var_4").fit(raw).transform(raw).drop("target_income"), ["var_4"])
@@ -174,7 +174,7 @@ _MEDIANS = ["age", "credit_score", "loan_amt_9", "balance_12", "target"]
 
 
 @register("median_fill", "select unique_id, " + ", ".join(
-    f"round(coalesce({c}, (select quantile_cont({c}, 0.5) from app)), 4) as {c}" for c in _MEDIANS)
+    f"round(coalesce({c}, (select quantile_cont({c}, 0.5) from app)), 8) as {c}" for c in _MEDIANS)
     + " from app")
 def median_fill(spark, sf_dir):
     df = applicants(spark, sf_dir).select("unique_id", *_MEDIANS)
@@ -182,7 +182,7 @@ def median_fill(spark, sf_dir):
 
 
 @register("mean_fill", "select unique_id, " + ", ".join(
-    f"round(coalesce({c}, (select avg({c}) from app)), 4) as {c}" for c in _MEDIANS) + " from app")
+    f"round(coalesce({c}, (select avg({c}) from app)), 8) as {c}" for c in _MEDIANS) + " from app")
 def mean_fill(spark, sf_dir):
     df = applicants(spark, sf_dir).select("unique_id", *_MEDIANS)
     return _rounded(impute.fit_means(df, _MEDIANS).transform(df), _MEDIANS)
@@ -292,7 +292,7 @@ _ALL_FILLED = [c for c in fv.IMPUTED_NUMERIC if c != "age"]
 
 
 @register("impute_applicants", _ID_CHAIN + f"""
-select id, pin, round(age, 4) as age, {_rounded_sql(_ALL_FILLED)}, {', '.join(fv.IMPUTED_TEXT)},
+select id, pin, round(age, 8) as age, {_rounded_sql(_ALL_FILLED)}, {', '.join(fv.IMPUTED_TEXT)},
   target_income,
   coalesce(last_updated, timestamp '{fv.IMPUTATION_TIMESTAMP_UTC}') as last_updated,
   coalesce(transaction_date, timestamp '{fv.IMPUTATION_TIMESTAMP_UTC}') as transaction_date,
