@@ -15,7 +15,7 @@ from ledgerloom import fixed_values as fv
 from ledgerloom.operators import encode, features, impute, score, train
 from ledgerloom.operators.columns import align_to_features, numeric_columns, text_columns
 from ledgerloom.operators.evaluate import feature_importance
-from ledgerloom.operators.profile import feature_completeness, missing_fractions, screen_features
+from ledgerloom.operators.profile import feature_completeness, screen_features
 from ledgerloom.operators.split import holdout_flag
 from ledgerloom.plans.shared import materialize
 

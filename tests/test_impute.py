@@ -2,9 +2,6 @@
 
 import hashlib
 
-import pytest
-from pyspark.sql import functions as F
-
 from ledgerloom.operators import impute
 
 

@@ -5,7 +5,6 @@ import random
 
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.sql import functions as F
 
 from ledgerloom.operators import encode, profile, split
 
