@@ -65,13 +65,15 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         for prefix, (value, numbers) in SLOT_FAMILIES.items() for k in numbers
     ]
     columns += [
-        "max(o_totalprice) as primary_loan_amt",
         f"{at(10, 'o_totalprice')} as loan_amt_large_tenure",
         f"{at(1, 'if(o_orderstatus = \'O\', lim, null)')} as active_credit_limit_1",
-        "cast(count_if(o_orderstatus = 'F') as double) as closed",
         "max(o_orderdate) as latest_order",
     ]
-    return _slots(spark, sf_dir).groupBy("o_custkey").agg(*[F.expr(c) for c in columns])
+    latest = _slots(spark, sf_dir).groupBy("o_custkey").agg(*[F.expr(c) for c in columns])
+    every = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.max("o_totalprice").alias("primary_loan_amt"),
+        F.count_if(F.col("o_orderstatus") == "F").cast("double").alias("closed"))
+    return latest.join(every, "o_custkey")
 
 
 # Columns outside the slots: value, and which ids (modulo, remainder) have none.
@@ -174,12 +176,14 @@ ranked as (
   from orders left join li on o_orderkey = l_orderkey),
 wide as (
   select o_custkey, {_slot_sql()},
-    round(max(o_totalprice), 4) as primary_loan_amt,
     round(max(case when k = 10 then o_totalprice end), 4) as loan_amt_large_tenure,
     round(max(case when k = 1 and o_orderstatus = 'O' then lim end), 4) as active_credit_limit_1,
-    cast(sum(case when o_orderstatus = 'F' then 1 else 0 end) as double) as closed,
     max(o_orderdate) as latest_order
   from ranked where k <= {SLOTS} group by o_custkey),
+every as (
+  select o_custkey as every_custkey, round(max(o_totalprice), 4) as primary_loan_amt,
+    cast(sum(case when o_orderstatus = 'F' then 1 else 0 end) as double) as closed
+  from orders group by o_custkey),
 app as (
   select c_custkey as unique_id, cast(c_nationkey as varchar) as "pin code",
     case when c_custkey % 11 <> 0 then cast(c_custkey % 60 + 18 as double) end as age,
@@ -217,6 +221,7 @@ app as (
     case when c_custkey % 12 <> 0 then latest_order end as transaction_date
   from customer
     left join wide on c_custkey = o_custkey
+    left join every on c_custkey = every_custkey
     left join nation on c_nationkey = n_nationkey
     left join region on n_regionkey = r_regionkey),
 raw as (select {raw}, last_updated, transaction_date from app)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalog.applicants import applicants, raw_applicants, raw_names
 from ledgerloom.catalog.registry import numbered, register
-from ledgerloom.fixed_values import DEFAULT_MAPPING
+from ledgerloom.fixed_values import DEFAULT_MAPPING, TEXT_COLUMNS
 from ledgerloom.operators import columns as cols
 from ledgerloom.operators import validate
 from ledgerloom.operators.impute import missing_indicators
@@ -109,29 +109,29 @@ def _score_text():
             .when(F.col("unique_id") % 10 == 4, F.concat(text, F.lit(" "))).otherwise(text))
 
 
-_TYPED = ("pin code", "score_text", "gender", "age")
+_TYPED_TEXT = [c for c in _DESCRIPTIVE if c in TEXT_COLUMNS]
+_TYPED_SQL = {**{c: f'"{c}"' for c in _TYPED_TEXT}, "score_text": _SCORE_TEXT}
+_TYPED_NUMBERS = [c for c in _DESCRIPTIVE if c not in TEXT_COLUMNS]
 
 
-@register("classify_columns", f""", t as (
-  select "pin code" as c0, {_SCORE_TEXT} as c1, gender as c2 from app),
-parsed as (
-  select count(c0) as n0, count(try_cast(trim(c0) as double)) as p0,
-    count(c1) as n1, count(try_cast(trim(c1) as double)) as p1,
-    count(c2) as n2, count(try_cast(trim(c2) as double)) as p2 from t),
-kinds as (
-  select 'pin code' as column_name, p0 = n0 as all_numeric, p0 > 0 as any_numeric from parsed
-  union all select 'score_text', p1 = n1, p1 > 0 from parsed
-  union all select 'gender', p2 = n2, p2 > 0 from parsed)
+@register("classify_columns", ", t as (select " + ", ".join(
+    f"{text} as c{i}" for i, text in enumerate(_TYPED_SQL.values())) + """ from app),
+parsed as (select """ + ", ".join(
+    f"count(c{i}) as n{i}, count(try_cast(trim(c{i}) as double)) as p{i}" for i in range(len(_TYPED_SQL))) + """ from t),
+kinds as (""" + " union all ".join(
+    f"select '{c}' as column_name, p{i} = n{i} as all_numeric, p{i} > 0 as any_numeric from parsed"
+    for i, c in enumerate(_TYPED_SQL)) + """)
 select column_name, 'categorical' as by_dtype,
   case when all_numeric then 'numeric' else 'categorical' end as by_all_parse,
   case when any_numeric then 'numeric' else 'categorical' end as by_any_parse from kinds
-union all select 'age', 'numeric', 'numeric', 'numeric'""")
+""" + " ".join(f"union all select '{c}', 'numeric', 'numeric', 'numeric'" for c in _TYPED_NUMBERS))
 def classify_columns(spark, sf_dir):
+    """All columns, and the score as text with some values that are no numbers."""
     df = applicants(spark, sf_dir).withColumn("score_text", _score_text()).select(
-        *[F.col(f"`{c}`") for c in _TYPED])
+        *[F.col(f"`{c}`") for c in [*_DESCRIPTIVE, "score_text"]])
     kinds = [cols.classify_columns(df, rule) for rule in ("dtype", "all_parse", "any_parse")]
     return spark.createDataFrame(
-        [(c, *[k[c] for k in kinds]) for c in _TYPED],
+        [(c, *[k[c] for k in kinds]) for c in df.columns],
         "column_name string, by_dtype string, by_all_parse string, by_any_parse string")
 
 
@@ -175,40 +175,49 @@ def drop_null_target(spark, sf_dir):
     return validate.drop_null_target(applicants(spark, sf_dir)).select("unique_id", "target")
 
 
-_LOANS = numbered("loan_amt_", range(1, 10))
+# Few applicants have a value in every column, so the rows that do are counted as well.
+_COMPLETE = {
+    "every feature": list(_DESCRIPTIVE),
+    "the first slots": [c for c in _DESCRIPTIVE if not c.split("_")[-1].isdigit() or c.endswith("_1")],
+}
 
 
-@register("complete_cases", f"""
-select unique_id, target, loan_amt_9 from app
-where {' and '.join(f'{c} is not null' for c in [*_LOANS, 'age', 'gender', 'target'])}""")
+@register("complete_cases", " union all ".join(
+    f"""select '{name}' as needed, count(*) as applicants, sum(unique_id) as ids from app
+    where {' and '.join(f'"{c}" is not null' for c in columns)}""" for name, columns in _COMPLETE.items()))
 def complete_cases(spark, sf_dir):
-    return validate.complete_cases(
-        applicants(spark, sf_dir), [*_LOANS, "age", "gender", "target"]
-    ).select("unique_id", "target", "loan_amt_9")
-
-
-_SPARSE = [*numbered("balance_", range(1, 13)), *numbered("credit_limit_", range(1, 14)),
-           "active_credit_limit_1", "target"]
+    df = applicants(spark, sf_dir)
+    parts = [
+        validate.complete_cases(df, [f"`{c}`" if " " in c else c for c in columns]).agg(
+            F.lit(name).alias("needed"), F.count("*").alias("applicants"), F.sum("unique_id").alias("ids"))
+        for name, columns in _COMPLETE.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @register("drop_sparse_columns", ", shares as (" + " union all ".join(
-    f"select '{c}' as feature, avg(case when {c} is null then 1.0 else 0.0 end) as share from app"
-    for c in _SPARSE) + """)
+    f"""select '{c}' as feature, avg(case when "{c}" is null then 1.0 else 0.0 end) as share from app"""
+    for c in _DESCRIPTIVE) + """)
 select feature, round(share, 6) as missing_fraction from shares where share <= 0.5""")
 def drop_sparse_columns(spark, sf_dir):
-    kept = validate.drop_sparse_columns(applicants(spark, sf_dir).select(*_SPARSE))
+    whole = applicants(spark, sf_dir).select(*[F.col(f"`{c}`") for c in _DESCRIPTIVE])
+    kept = validate.drop_sparse_columns(whole)
     return missing_profile(kept).withColumn("missing_fraction", F.round("missing_fraction", 6))
 
 
-@register("null_out_infinities", """
-select unique_id, case when loan_amt_2 is null or unique_id % 4 in (1, 2, 3) then null
-  else loan_amt_2 end as value, credit_score from app""")
+_DOUBLES = [c for c in _DESCRIPTIVE if c not in TEXT_COLUMNS and c != "unique_id"]
+
+
+@register("null_out_infinities", "select unique_id, " + ", ".join(
+    f"case when (unique_id + {i}) % 4 = 0 then {c} end as {c}" for i, c in enumerate(_DOUBLES)) + " from app")
 def null_out_infinities(spark, sf_dir):
-    remainder = F.col("unique_id") % 4
-    value = (F.when(remainder == 1, float("nan")).when(remainder == 2, float("inf"))
-             .when(remainder == 3, float("-inf")).otherwise(F.col("loan_amt_2")))
+    """NaN or an infinity in three of four rows of every numeric column."""
+    def spoiled(i: int, c: str):
+        remainder = (F.col("unique_id") + i) % 4
+        return (F.when(remainder == 1, float("nan")).when(remainder == 2, float("inf"))
+                .when(remainder == 3, float("-inf")).otherwise(F.col(c))).alias(c)
+
     return source.null_out_infinities(
-        applicants(spark, sf_dir).select("unique_id", value.alias("value"), "credit_score"))
+        applicants(spark, sf_dir).select("unique_id", *[spoiled(i, c) for i, c in enumerate(_DOUBLES)]))
 
 
 @register("head", """
@@ -317,10 +326,9 @@ def validate_required(spark, sf_dir):
         "unique_id", F.concat_ws(";", "reasons").alias("reasons"))
 
 
-@register("missing_indicators", """
-select unique_id, case when age is null then 1 else 0 end as age_is_missing,
-  case when balance_12 is null then 1 else 0 end as balance_12_is_missing,
-  case when city is null then 1 else 0 end as city_is_missing from app""")
+@register("missing_indicators", "select unique_id, " + ", ".join(
+    f'case when "{c}" is null then 1 else 0 end as "{c}_is_missing"' for c in _DESCRIPTIVE if c != "unique_id") + " from app")
 def missing_indicators_query(spark, sf_dir):
-    flagged = missing_indicators(applicants(spark, sf_dir), ["age", "balance_12", "city"])
-    return flagged.select("unique_id", "age_is_missing", "balance_12_is_missing", "city_is_missing")
+    columns = [c for c in _DESCRIPTIVE if c != "unique_id"]
+    flagged = missing_indicators(applicants(spark, sf_dir), columns)
+    return flagged.select("unique_id", *[F.col(f"`{c}_is_missing`") for c in columns])

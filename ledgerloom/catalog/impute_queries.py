@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
@@ -16,34 +14,102 @@ def _rules(*columns: str) -> impute.ImputeRules:
     return impute.ImputeRules([r for r in impute.rules_by_id() if r.column in columns])
 
 
-def _sql_statistic(source: str):
-    def text(match) -> str:
-        kind, c = match.groups()
-        if kind == "mean":
-            return f"(select avg({c}) from {source})"
-        if kind == "mode":
-            return (f"(select {c} from {source} where {c} is not null "
-                    f"group by {c} order by count(*) desc, {c} limit 1)")
-        share = {"median": 0.5, "p75": 0.75}[kind]
-        return f"(select quantile_cont({c}, {share}) from {source})"
-    return text
-
-
-def _sql_chain(rules, source: str, present) -> tuple[str, str]:
-    """One WITH clause per rule, in list order; the name of the last one."""
+# The twins of the rule sets are written out here and share nothing with the rules' code:
+# first, in order, what each column's gap becomes; a fill sees the columns filled before it.
+
+_MODE = "(select {c} from {t} where {c} is not null group by {c} order by count(*) desc, {c} limit 1)"
+_MEDIAN = "(select quantile_cont({c}, 0.5) from {t})"
+
+
+def _zeros(*names: str) -> list[tuple[str, str]]:
+    return [(name, "0") for name in names]
+
+
+def _copies(source: str, *names: str) -> list[tuple[str, str]]:
+    return [(name, source) for name in names]
+
+
+_AMOUNTS_BY_ID = ["var_6", "var_7", "var_20", "var_24", "var_31", "var_41", "var_50", "var_61", "var_72"]
+
+
+def _positive(columns) -> str:
+    return " + ".join(f"case when {c} > 0 then 1 else 0 end" for c in columns)
+
+
+_FILLS_BY_ID = [
+    ("age", "case when target_income > 50000 then (select avg(age) from raw) else 30 end"),
+    ("var_0", "target_income / 8"), ("var_1", "var_0 * 0.4"),
+    ("var_2", "4 * target_income"), ("var_3", "var_2 / 2"),
+    ("var_4", "case when target_income > (select quantile_cont(target_income, 0.75) from raw)"
+              " then (select quantile_cont(var_4, 0.5) from raw) else 0 end"),
+    *_zeros("var_5"), ("var_6", "target_income * 30"), ("var_7", "var_6 * 0.4"),
+    ("var_8", "case when target_income > 60000 then target_income * 2.5 else 0 end"),
+    ("var_9", "var_6 * 0.008"), *_zeros("var_10", "var_14"),
+    ("var_15", "case when age < 35 then 3 else 1 end"),
+    *_zeros("var_16", "var_17", "var_18", "var_19", "var_20", "var_21", "var_22", "var_24", "var_25", "var_26",
+            "var_27", "var_30", "var_31"),
+    ("var_32", "case when target_income > 50000 and age > 30 then 750 else 675 end"),
+    *_zeros("var_35", "var_36"), ("var_37", "case when var_32 > 700 then 1 else 0 end"), *_zeros("var_38"),
+    ("var_40", "case when age > 40 then var_53 / 2 else 0 end"),
+    *_zeros("var_41", "var_42", "var_43"), *_copies("var_37", "var_44"), *_zeros("var_47"),
+    *_copies("var_37", "var_48"), *_zeros("var_49", "var_50", "var_51"), *_copies("var_37", "var_52"),
+    ("var_53", _positive(_AMOUNTS_BY_ID)), *_zeros("var_54", "var_55", "var_56"),
+    *_copies("var_53", "var_57"), *_copies("var_37", "var_58", "var_59"), *_zeros("var_60", "var_61", "var_62"),
+    *_copies("var_37", "var_63", "var_64"), *_copies("var_53", "var_65", "var_66"), *_zeros("var_68"),
+    *_copies("var_37", "var_69"), *_copies("var_53", "var_70"), *_zeros("var_71", "var_72"),
+    *_copies("var_37", "var_73"),
+    ("gender", "case when target_income > 40000 then 'Male' else " + _MODE.format(c="gender", t="raw") + " end"),
+    ("city", _MODE.format(c="city", t="raw")), ("state", _MODE.format(c="state", t="raw")),
+    ("residence_ownership", "case when target_income > 60000 and age > 35 then 'SELF-OWNED' else 'RENTED' end"),
+    ("device_model", "case when target_income > 50000 then 'iPhone' else 'Generic Android' end"),
+    ("device_category", "case when regexp_matches(device_model, '(?i)iphone|samsung') then 'SMART PHONE'"
+                        " else 'FEATURE PHONE' end"),
+    ("platform", "case when regexp_matches(device_model, '(?i)iphone') then 'IOS' else 'Android' end"),
+    ("device_manufacturer", "case when regexp_matches(device_model, '(?i)iphone') then 'Apple' else 'Samsung' end"),
+    ("marital_status", "case when age > 28 then 'Married' else 'Single' end"),
+    ("var_74", "case when var_32 > 700 then 'Low Risk' else 'Medium Risk' end"), ("var_75", "'Primary Score'"),
+]
+
+_LOANS = [f"loan_amt_{i}" for i in range(1, 10)]
+_FILLS_BY_MEANING = [
+    ("age", "case when target > 50000 then (select avg(age) from app) else 30 end"),
+    ("balance_1", "target / 8"), ("balance_2", "balance_1 * 0.4"),
+    ("credit_limit_1", "4 * target"), ("credit_limit_2", "credit_limit_1 / 2"),
+    ("balance_3", "case when target > (select quantile_cont(target, 0.75) from app)"
+                  " then (select quantile_cont(balance_3, 0.5) from app) else 0 end"),
+    ("loan_amt_1", "target * 30"), ("loan_amt_2", "loan_amt_1 * 0.4"),
+    ("business_balance", "case when target > 60000 then target * 2.5 else 0 end"),
+    ("total_emi_1", "loan_amt_1 * 0.008"), ("total_inquiries_1", "case when age < 35 then 3 else 1 end"),
+    ("credit_score", "case when target > 50000 and age > 30 then 750 else 675 end"),
+    ("repayment_1", "case when credit_score > 700 then 1 else 0 end"),
+    *_zeros(*[f"balance_{i}" for i in range(4, 13)], *[f"credit_limit_{i}" for i in range(3, 14)], *_LOANS[2:],
+            *[f"total_emi_{i}" for i in range(2, 8)], "total_inquiries_2", *[f"total_inquires_{i}" for i in range(3, 7)]),
+    *_copies("repayment_1", *[f"repayment_{i}" for i in range(2, 11)]),
+    ("total_loans_1", _positive(_LOANS)),
+    *_copies("total_loans_1", "total_loans_2", "total_loans_2_dup1", "total_loans_3", "total_loans_4", "total_loans_5"),
+    ("closed_loan", "case when age > 40 then total_loans_1 / 2 else 0 end"),
+    ("gender", "case when target > 40000 then 'Male' else " + _MODE.format(c="gender", t="app") + " end"),
+    ("residence_ownership", "case when target > 60000 and age > 35 then 'SELF-OWNED' else 'RENTED' end"),
+    ("device_model", "case when target > 50000 then 'iPhone' else 'Generic Android' end"),
+    ("platform", "case when regexp_matches(device_model, '(?i)iphone') then 'IOS' else 'Android' end"),
+    ("score_comments", "case when credit_score > 700 then 'Low Risk' else 'Medium Risk' end"),
+]
+
+
+def _chain(fills, source: str) -> tuple[str, str]:
+    """One WITH clause per fill, in order; the name of the last one."""
     clauses, last = [], source
-    for number, rule in enumerate(r for r in rules if r.column in present):
-        fill = rule.fill if set(rule.needs) <= set(present) else rule.otherwise
-        fill = re.sub(r"\{(\w+):(\w+)\}", _sql_statistic(source), fill)
-        clauses.append(f"step{number} as materialized (select * replace "
-                       f"(coalesce({rule.column}, {fill}) as {rule.column}) from {last})")
-        last = f"step{number}"
+    for number, (column, fill) in enumerate(fills):
+        clauses.append(f"{source}_step{number} as materialized (select * replace "
+                       f"(coalesce({column}, {fill}) as {column}) from {last})")
+        last = f"{source}_step{number}"
     return ", " + ",\n".join(clauses), last
 
 
-_ID_CHAIN, _ID_LAST = _sql_chain(impute.rules_by_id(), "raw", list(raw_names()))
+RAW_FILLED, RAW_LAST = _chain(_FILLS_BY_ID, "raw")
+_ID_CHAIN, _ID_LAST = RAW_FILLED, RAW_LAST
 _MEANING_NAMES = list(raw_names().values())
-_MEANING_CHAIN, _MEANING_LAST = _sql_chain(impute.rules_by_meaning(), "app", _MEANING_NAMES)
+_MEANING_CHAIN, _MEANING_LAST = _chain(_FILLS_BY_MEANING, "app")
 
 
 def _rounded_sql(columns, text=()) -> str:
@@ -170,7 +236,7 @@ def count_positive_fill(spark, sf_dir):
     return _rules("var_53").fit(raw).transform(raw).select("id", "var_53")
 
 
-_MEDIANS = ["age", "credit_score", "loan_amt_9", "balance_12", "target"]
+_MEDIANS = [c for c in _MEANING_NAMES if c not in fv.TEXT_COLUMNS and c != "unique_id"]
 
 
 @register("median_fill", "select unique_id, " + ", ".join(
@@ -182,20 +248,20 @@ def median_fill(spark, sf_dir):
 
 
 @register("mean_fill", "select unique_id, " + ", ".join(
-    f"round(coalesce({c}, (select avg({c}) from app)), 8) as {c}" for c in _MEDIANS) + " from app")
+    f"round(coalesce({c}, (select avg({c}) from app)), 5) as {c}" for c in _MEDIANS) + " from app")
 def mean_fill(spark, sf_dir):
     df = applicants(spark, sf_dir).select("unique_id", *_MEDIANS)
-    return _rounded(impute.fit_means(df, _MEDIANS).transform(df), _MEDIANS)
+    means = impute.fit_means(df, _MEDIANS).transform(df)
+    return means.withColumns({c: F.round(c, 5) for c in _MEDIANS})  # sums of large amounts differ by order beyond
 
 
-_MODES = ["gender", "city", "residence_ownership", "device_model"]
+_MODES = [c for c in _MEANING_NAMES if c in fv.TEXT_COLUMNS]
 
 
 @register("mode_fill", "select unique_id, " + ", ".join(
-    f"coalesce({c}, (select {c} from app where {c} is not null group by {c} "
-    f"order by count(*) desc, {c} limit 1)) as {c}" for c in _MODES) + " from app")
+    f'coalesce("{c}", ' + _MODE.format(c=f'"{c}"', t="app") + f') as "{c}"' for c in _MODES) + " from app")
 def mode_fill(spark, sf_dir):
-    df = applicants(spark, sf_dir).select("unique_id", *_MODES)
+    df = applicants(spark, sf_dir).select("unique_id", *[F.col(f"`{c}`") for c in _MODES])
     return impute.fit_modes(df, _MODES).transform(df)
 
 

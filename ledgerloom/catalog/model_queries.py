@@ -1,206 +1,293 @@
-"""Trained models: no SQL twin, checked by rows here and by behaviour in the tests."""
+"""Trained models with the library's own settings.
+
+Predictions have no SQL form, so the queries return what must hold of them: which rows are
+scored, how outputs follow from one another, and flags that a broken model fails. Fits are shared
+by the queries of a session as long as the tables stay the same files.
+"""
 
 from __future__ import annotations
 
 from functools import cache
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom import fixed_values as fv
 from ledgerloom.catalog.applicants import applicants
+from ledgerloom.catalog.profile_queries import held_out_sql
 from ledgerloom.catalog.registry import register
+from ledgerloom.catalog.score_queries import request_rows
 from ledgerloom.operators import encode, evaluate, train
-from ledgerloom.operators.split import assign_batches, holdout_flag
+from ledgerloom.operators.split import holdout_flag
+from ledgerloom.operators.validate import with_reasons
 from ledgerloom.plans import applicant_models as models
 from ledgerloom.plans.shared import fresh_path, materialize
+from ledgerloom.catalog.column_queries import _REQUEST_SQL, ALL_REASONS_SQL
+from ledgerloom.streaming.score_stream import read_scored, score_stream, stage_requests
 
 KEY = "unique_id"
 TARGET = "target"
-# Settings for the registered runs; the library's own defaults are the fixed values.
-SMALL = {"trees": 10, "depth": 4, "learning_rate": 0.1}
-SMALL_FOREST = {"trees": 20, "depth": 5}
+_TEST_ROWS = f" from app where target is not null and {held_out_sql()}"
+
+
+def _files(spark, sf_dir: str) -> tuple:
+    """What tells the session and the files of the tables apart."""
+    states = []
+    for name in ("customer", "orders", "lineitem", "nation", "region"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        states.append((status.getModificationTime(), status.getLen()))
+    return spark.sparkContext.applicationId, sf_dir, tuple(states)
+
+
+class _Session:
+    """A session as part of a cache key: the files are the key, the session is not compared."""
+
+    def __init__(self, spark, sf_dir: str) -> None:
+        self.spark, self.sf_dir, self.state = spark, sf_dir, _files(spark, sf_dir)
+
+    def __hash__(self) -> int:
+        return hash(self.state)
+
+    def __eq__(self, other) -> bool:
+        return self.state == other.state
+
+
+def _rows(at: _Session) -> DataFrame:
+    return applicants(at.spark, at.sf_dir).drop("last_updated", "transaction_date")
 
 
 @cache
-def _training(application: str, spark, sf_dir: str):
-    """Prepared vectors of one table, fitted once per session: (train, test, preparation)."""
+def _vectors(at: _Session):
+    """Prepared vectors of the known applicants: (train, test, preparation)."""
     known = materialize(
-        applicants(spark, sf_dir).where(F.col(TARGET).isNotNull())
+        _rows(at).where(F.col(TARGET).isNotNull())
         .withColumns({"income_log": F.log1p(TARGET),
-                      "repayment_ok": (F.col(TARGET) > 50000).cast("double")})
-        .drop("last_updated", "transaction_date"), "applicants")
+                      "repayment_ok": (F.col(TARGET) > 50000).cast("double")}), "applicants")
     rest, test = known.where(~holdout_flag(KEY)), known.where(holdout_flag(KEY))
-    drop = [*models.fv.ID_LIKE_TEXT_COLUMNS, "repayment_ok", "income_log"]
+    drop = [*fv.ID_LIKE_TEXT_COLUMNS, "repayment_ok", "income_log"]
     preparation = models.fit_preparation(rest, KEY, TARGET, drop)
     keep = [TARGET, "income_log", "repayment_ok"]
     return (materialize(preparation.transform(rest, KEY, keep), "train-vectors"),
             materialize(preparation.transform(test, KEY, keep), "test-vectors"), preparation)
 
 
-def _vectors(spark, sf_dir):
-    return _training(spark.sparkContext.applicationId, spark, sf_dir)
+@cache
+def _forest(at: _Session):
+    return train.fit_forest_regressor(
+        _vectors(at)[0], "income_log", {"feature_share": fv.FOREST_FEATURE_SHARE})
 
 
 @cache
-def _income_scorer(application: str, spark, sf_dir: str):
-    rows = applicants(spark, sf_dir).drop("last_updated", "transaction_date")
-    return models.fit_income_scorer(materialize(rows, "applicants"), KEY, TARGET, SMALL, SMALL_FOREST)
+def _income(at: _Session):
+    return models.fit_income_scorer(materialize(_rows(at), "applicants"), KEY, TARGET)
 
 
 @cache
-def _both_scorers(application: str, spark, sf_dir: str):
-    rows = applicants(spark, sf_dir).drop("last_updated", "transaction_date")
-    return models.fit_both_scorers(materialize(rows, "applicants"), KEY, TARGET, SMALL)
+def _both(at: _Session):
+    return models.fit_both_scorers(materialize(_rows(at), "applicants"), KEY, TARGET)
 
 
-def _income(spark, sf_dir):
-    return _income_scorer(spark.sparkContext.applicationId, spark, sf_dir)
+def _better(actual: str, predicted: str) -> Column:
+    """Whether predictions are closer to the truth than its mean is, over all rows."""
+    return F.avg(F.pow(F.col(actual) - F.col(predicted), 2)) < F.var_pop(actual)
 
 
-def _both(spark, sf_dir):
-    return _both_scorers(spark.sparkContext.applicationId, spark, sf_dir)
+def _judged(scored: DataFrame, actual: str, predicted: str = "prediction") -> DataFrame:
+    """Each test row with its target, whether it has a finite prediction, and the flag for all."""
+    verdict = scored.agg(_better(actual, predicted).alias("better_than_mean")).first()[0]
+    finite = F.abs(F.col(predicted)) < float("inf")
+    return scored.select(KEY, TARGET, F.coalesce(finite, F.lit(False)).alias("predicted"),
+                         F.lit(verdict).alias("better_than_mean"))
 
 
-def _predicted(df, name="prediction"):
-    return df.select(KEY, TARGET, F.expm1(name).alias("predicted_income"))
+_JUDGED_SQL = "select unique_id, target, true as predicted, true as better_than_mean" + _TEST_ROWS
 
 
-@register("fit_boosted_regressor")
+@register("fit_boosted_regressor", _JUDGED_SQL)
 def fit_boosted_regressor(spark, sf_dir):
-    rest, test, _ = _vectors(spark, sf_dir)
-    return _predicted(train.fit_boosted_regressor(rest, "income_log", SMALL).transform(test))
+    rest, test, _ = _vectors(_Session(spark, sf_dir))
+    return _judged(train.fit_boosted_regressor(rest, "income_log").transform(test), "income_log")
 
 
-@register("fit_boosted_regressor_validated")
+@register("fit_boosted_regressor_validated", _JUDGED_SQL)
 def fit_boosted_regressor_validated(spark, sf_dir):
-    rest, test, _ = _vectors(spark, sf_dir)
+    rest, test, _ = _vectors(_Session(spark, sf_dir))
     validation = holdout_flag(KEY, 0.25, seed=43)
     model = train.fit_boosted_regressor(
-        rest.where(~validation), "income_log", SMALL, validation=rest.where(validation))
-    return _predicted(model.transform(test))
+        rest.where(~validation), "income_log", validation=rest.where(validation))
+    return _judged(model.transform(test), "income_log")
 
 
-@register("fit_boosted_classifier")
+@register("fit_boosted_classifier", """
+select unique_id, cast(target > 50000 as int) as repayment_ok, true as consistent, true as better_than_chance"""
+          + _TEST_ROWS)
 def fit_boosted_classifier(spark, sf_dir):
-    rest, test, _ = _vectors(spark, sf_dir)
-    scored = train.fit_boosted_classifier(rest, "repayment_ok", SMALL).transform(test)
-    return train.probability_of_one(scored).select(
-        KEY, "repayment_ok", F.col("prediction").cast("int").alias("prediction"), "probability_of_one")
+    rest, test, _ = _vectors(_Session(spark, sf_dir))
+    scored = train.probability_of_one(train.fit_boosted_classifier(rest, "repayment_ok").transform(test))
+    auc = evaluate.auc_roc(scored, "repayment_ok", "probability_of_one").first()["auc"]
+    same = (F.col("probability_of_one") > 0.5) == (F.col("prediction") == 1)
+    return scored.select(KEY, F.col("repayment_ok").cast("int").alias("repayment_ok"),
+                         same.alias("consistent"), F.lit(auc > 0.6).alias("better_than_chance"))
 
 
-@register("fit_forest_regressor")
+@register("fit_forest_regressor", _JUDGED_SQL)
 def fit_forest_regressor(spark, sf_dir):
-    rest, test, _ = _vectors(spark, sf_dir)
-    return _predicted(train.fit_forest_regressor(rest, "income_log", SMALL_FOREST).transform(test))
+    at = _Session(spark, sf_dir)
+    return _judged(_forest(at).transform(_vectors(at)[1]), "income_log")
 
 
-@register("fit_voting")
+@register("fit_voting", "select unique_id, true as is_weighted_mean, true as better_than_mean" + _TEST_ROWS)
 def fit_voting(spark, sf_dir):
-    _, scored = _income(spark, sf_dir)
-    return scored.select(KEY, *[c for c in scored.columns if c.startswith("prediction")])
-
-
-@register("fit_two_targets")
+    _, scored = _income(_Session(spark, sf_dir))
+    mean = (F.col("prediction_boosted") * 0.4 + F.col("prediction_boosted_validated") * 0.4
+            + F.col("prediction_forest") * 0.2)
+    verdict = scored.agg(_better(TARGET, "prediction").alias("b")).first()["b"]
+    return scored.select(KEY, (F.abs(F.col("prediction") - mean) < 1e-9).alias("is_weighted_mean"),
+                         F.lit(verdict).alias("better_than_mean"))
+
+
+@register("fit_two_targets", f""", bounds as (
+  select min(target) as low, max(target) as high from app where target is not null and not {held_out_sql()})
+select unique_id, cast(target > 50000 as int) as repayment_ok, round((target - low) / (high - low), 6) as scaled_income,
+  true as classified, true as better_than_mean from app, bounds where target is not null and {held_out_sql()}""")
 def fit_two_targets(spark, sf_dir):
-    scorer, test = _both(spark, sf_dir)
+    scorer, test = _both(_Session(spark, sf_dir))
     classified = scorer.repayment.transform(test).withColumnRenamed("prediction", "repayment_prediction")
-    slim = classified.drop("rawPrediction", "probability")
-    return scorer.capability.transform(slim).select(
-        KEY, "repayment_ok", F.col("repayment_prediction").cast("int").alias("repayment_prediction"),
-        "scaled_income", F.col("prediction").alias("scaled_prediction"))
-
-
-@register("grid_search")
-def grid_search(spark, sf_dir):
-    rest, _, _ = _vectors(spark, sf_dir)
-    search = train.grid_search(
-        rest, KEY, "income_log", grid={"maxDepth": [2, 4]}, folds=3,
-        params={"trees": 5, "depth": 3, "learning_rate": 0.1})
-    return train.grid_scores(spark, search)
+    scored = scorer.capability.transform(classified.drop("rawPrediction", "probability"))
+    verdict = scored.agg(_better("scaled_income", "prediction").alias("b")).first()["b"]
+    return scored.select(
+        KEY, F.col("repayment_ok").cast("int").alias("repayment_ok"), F.round("scaled_income", 6).alias("scaled_income"),
+        F.col("repayment_prediction").isin(0.0, 1.0).alias("classified"), F.lit(verdict).alias("better_than_mean"))
 
 
-@register("grid_search_classifier")
-def grid_search_classifier(spark, sf_dir):
-    rest, _, _ = _vectors(spark, sf_dir)
-    search = train.grid_search(
-        rest, KEY, "repayment_ok", task="classification", grid={"stepSize": [0.05, 0.1]}, folds=3,
-        params={"trees": 5, "depth": 3, "learning_rate": 0.1})
-    return train.grid_scores(spark, search)
-
-
-@register("random_search")
-def random_search(spark, sf_dir):
-    rest, _, _ = _vectors(spark, sf_dir)
-    validation = holdout_flag(KEY, 0.25, seed=43)
-    space = {"trees": (5, 10, 5), "depth": (2, 4)}
-    rows = []
-    for family in ("boosted", "forest"):
-        found = train.random_search(
-            rest.where(~validation), rest.where(validation), "income_log", family, trials=2, space=space)
-        rows += [(family, i + 1, p["trees"], p["depth"], p.get("learning_rate"), float(rmse))
-                 for i, (p, rmse) in enumerate(found)]
-    return spark.createDataFrame(
-        rows, "family string, place int, trees int, depth int, learning_rate double, rmse double")
-
-
-@register("cross_validate")
-def cross_validate(spark, sf_dir):
-    rest, _, _ = _vectors(spark, sf_dir)
-    mean = train.cross_validate(
-        rest, KEY, "income_log", {"trees": 5, "depth": 3, "learning_rate": 0.1}, folds=3)
-    return spark.createDataFrame([(mean,)], "mean_r2 double")
-
-
-@register("train_incremental")
-def train_incremental(spark, sf_dir):
-    """Three consecutive blocks, each scored by a model of the blocks so far."""
-    rest, test, _ = _vectors(spark, sf_dir)
-    everyone = rest.unionByName(test)
-    rows = everyone.count()
-    batches = materialize(assign_batches(everyone, KEY, -(-rows // 3)), "batches")
-    scored = train.train_incremental(
-        batches, "batch_id", "income_log", KEY, {"trees": 5, "depth": 3, "learning_rate": 0.1})
-    return evaluate.batch_metrics(scored, "batch_id", "income_log", "prediction")
-
-
-@register("feature_importance")
+@register("feature_importance", "select 20 as listed, true as whole, true as ordered, true as named", applicants=False)
 def feature_importance(spark, sf_dir):
-    rest, _, _ = _vectors(spark, sf_dir)
-    model = train.fit_boosted_regressor(rest, "income_log", SMALL)
-    return evaluate.feature_importance(spark, model, encode.feature_names(rest), top_n=20)
-
-
-@register("permutation_importance")
+    """The first 20 slots, and whether the importances of all slots add up to 1."""
+    at = _Session(spark, sf_dir)
+    names = encode.feature_names(_vectors(at)[0])
+    every = evaluate.feature_importance(spark, _forest(at), names)
+    top = [r["Importance"] for r in evaluate.feature_importance(spark, _forest(at), names, top_n=20).collect()]
+    return every.agg(
+        F.lit(len(top)).alias("listed"), (F.abs(F.sum("Importance") - 1) < 1e-9).alias("whole"),
+        F.lit(top == sorted(top, reverse=True)).alias("ordered"),
+        (F.count_distinct("Feature") == len(names)).alias("named"))
+
+
+@register("permutation_importance", "select true as all_slots, true as helps, true as unused_are_zero", applicants=False)
 def permutation_importance(spark, sf_dir):
-    rest, test, _ = _vectors(spark, sf_dir)
-    model = train.fit_forest_regressor(rest, "income_log", SMALL_FOREST)
-    return evaluate.permutation_importance(
-        model, test, KEY, "income_log", names=encode.feature_names(rest))
+    at = _Session(spark, sf_dir)
+    rest, test, _ = _vectors(at)
+    names = encode.feature_names(rest)
+    found = evaluate.permutation_importance(_forest(at), test, KEY, "income_log", names=names)
+    weights = evaluate.feature_importance(spark, _forest(at), names).withColumnRenamed("Feature", "feature")
+    both = found.join(weights, "feature")
+    return both.agg(
+        (F.count("*") == len(names)).alias("all_slots"), (F.max("rmse_increase") > 0).alias("helps"),
+        F.coalesce(F.bool_and(F.when(F.col("Importance") == 0, F.col("rmse_increase") == 0)), F.lit(True)).alias("unused_are_zero"))
+
+
+@register("score_income", "select unique_id, true as monthly, true as complete, true as confident from app")
+def score_income(spark, sf_dir):
+    scored = models.score_income(applicants(spark, sf_dir), _income(_Session(spark, sf_dir))[0])
+    annual, monthly = F.col("predicted_annual_income"), F.col("predicted_monthly_income")
+    share = F.col("available_features") / F.col("total_features") * 100
+    return scored.select(
+        KEY, (F.abs(annual / 12 - monthly) < 1e-6).alias("monthly"),
+        (F.abs(share - F.col("feature_completeness")) < 1e-9).alias("complete"),
+        F.col("confidence_score").between(0, 1).alias("confident"))
 
 
-@register("score_income")
-def score_income(spark, sf_dir):
-    return models.score_income(applicants(spark, sf_dir), _income(spark, sf_dir)[0])
+def _follows() -> Column:
+    """Whether status and prediction follow from probability and threshold."""
+    status = F.when(F.col("probability") >= F.col("threshold"), "Good").otherwise("Bad")
+    same = (F.col("status") == status) & (F.col("prediction") == (F.col("status") == "Good").cast("int"))
+    return same.alias("follows")
 
 
-@register("score_repayment")
+@register("score_repayment", "select unique_id, 0.6::double as threshold, true as follows from app")
 def score_repayment(spark, sf_dir):
-    return models.score_repayment(applicants(spark, sf_dir), _both(spark, sf_dir)[0], 0.6)
+    scored = models.score_repayment(applicants(spark, sf_dir), _both(_Session(spark, sf_dir))[0], 0.6)
+    return scored.select(KEY, "threshold", _follows())
 
 
-@register("score_capability")
+@register("score_capability", "select unique_id, true as restored, true as same_confidence from app")
 def score_capability(spark, sf_dir):
-    return models.score_capability(applicants(spark, sf_dir), _both(spark, sf_dir)[0], as_income=True)
-
-
-@register("score_combined")
+    """The income is the capability score put back on its scale."""
+    scorer = _both(_Session(spark, sf_dir))[0]
+    rows = applicants(spark, sf_dir)
+    scores = models.score_capability(rows, scorer).withColumnRenamed("confidence_score", "c")
+    incomes = models.score_capability(rows, scorer, as_income=True)
+    back = scorer.bounds.inverse(F.col("capability_score"))
+    return scores.join(incomes, KEY).select(
+        KEY, (F.abs(back - F.col("predicted_income")) < 1e-6).alias("restored"),
+        (F.col("c") == F.col("confidence_score")).alias("same_confidence"))
+
+
+@register("score_combined", "select unique_id, 0.5::double as threshold, true as follows, true as same_income from app")
 def score_combined(spark, sf_dir):
-    income, both = _income(spark, sf_dir)[0], _both(spark, sf_dir)[0]
-    return models.score_combined(applicants(spark, sf_dir), income, both)
+    """Combined scores against those of the income scorer alone."""
+    at = _Session(spark, sf_dir)
+    rows = applicants(spark, sf_dir)
+    both = models.score_combined(rows, _income(at)[0], _both(at)[0])
+    alone = models.score_income(rows, _income(at)[0]).select(KEY, F.col("predicted_annual_income").alias("alone"))
+    return both.join(alone, KEY).select(
+        KEY, "threshold", _follows(),
+        (F.abs(F.col("alone") - F.col("predicted_annual_income")) < 1e-6).alias("same_income"))
 
 
-@register("save_and_load_scorer")
+@register("save_and_load_scorer", "select unique_id, true as same from app")
 def save_and_load_scorer(spark, sf_dir):
-    """Income scores by the scorer as loaded from its folder."""
-    path = fresh_path(spark, "scorer")
-    models.save_scorer(_income(spark, sf_dir)[0], path)
-    return models.score_income(applicants(spark, sf_dir), models.load_scorer(spark, path))
+    """Scores by the scorer as loaded from its folder against the fitted one."""
+    scorer, path = _income(_Session(spark, sf_dir))[0], fresh_path(spark, "scorer")
+    models.save_scorer(scorer, path)
+    rows = applicants(spark, sf_dir)
+    loaded = models.score_income(rows, models.load_scorer(spark, path))
+    fitted = models.score_income(rows, scorer).select(KEY, F.col("predicted_annual_income").alias("fitted"))
+    return loaded.join(fitted, KEY).select(
+        KEY, (F.abs(F.col("fitted") - F.col("predicted_annual_income")) < 1e-9).alias("same"))
+
+
+_TOTALS = {
+    "total_credit_limit_overall": 500_000.0, "total_balance_overall": 20_000.0, "total_emi_overall": 900.0,
+    "total_inquiries_overall": 3.0, "total_loan_amount_overall": 250_000.0,
+}
+
+
+@register("score_aggregated_requests", f"""
+select unique_id, {', '.join(f'{v} * (unique_id % 5 + 1) as {n}' for n, v in _TOTALS.items())},
+  round(20000.0 / (500000.0 + 1e-6 / (unique_id % 5 + 1)), 8) as overall_credit_util_ratio, true as totals_matter from app""")
+def score_aggregated_requests(spark, sf_dir):
+    """Requests with totals in place of slots: the totals are kept, and the scores depend on them."""
+    scorer = _income(_Session(spark, sf_dir))[0]
+    factor = F.col(KEY) % 5 + 1
+    asked = applicants(spark, sf_dir).select(
+        KEY, "age", "credit_score", "gender", "marital_status", "city", "state", "residence_ownership",
+        *[(F.lit(v) * factor).alias(n) for n, v in _TOTALS.items()])
+    one = asked.limit(1)
+    variants = [one.withColumns({n: F.lit(v * k) for n, v in _TOTALS.items()}) for k in (0.0, 1.0, 1000.0)]
+    incomes = {models.score_income(v, scorer).first()["predicted_annual_income"] for v in variants}
+    return scorer.preparation.engineered(asked, KEY).select(
+        KEY, *_TOTALS, F.round("overall_credit_util_ratio", 8).alias("overall_credit_util_ratio"), F.lit(len(incomes) > 1).alias("totals_matter"))
+
+
+@register("score_stream_models", _REQUEST_SQL + f""", checked as (select *, {ALL_REASONS_SQL} as reasons from req)
+select unique_id, reasons = '' as valid, true as same from checked""")
+def score_stream_models(spark, sf_dir):
+    """The stream over the fitted repayment model against the same requests scored as a table."""
+    scorer, folder = _both(_Session(spark, sf_dir))[0], fresh_path(spark, "model-stream")
+    requests = request_rows(spark, sf_dir)
+    stage_requests(requests, f"{folder}/requests")
+
+    def scored(batch):
+        return models.score_repayment(batch, scorer, "threshold")
+
+    score_stream(
+        spark, f"{folder}/requests", f"{folder}/out", f"{folder}/checkpoint", scored, once=True).awaitTermination()
+    streamed = read_scored(spark, f"{folder}/out").select(KEY, F.col("probability").alias("streamed"))
+    checked = with_reasons(requests)
+    table = scored(checked.where(F.size("reasons") == 0).drop("reasons")).select(KEY, "probability")
+    ids = checked.select(KEY, (F.size("reasons") == 0).alias("valid"))
+    joined = ids.join(streamed, KEY, "left").join(table, KEY, "left")
+    agree = F.when(F.col("valid"), F.abs(F.col("streamed") - F.col("probability")) < 1e-9).otherwise(F.col("streamed").isNull())
+    return joined.select(KEY, "valid", F.coalesce(agree, F.lit(False)).alias("same"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.catalog.applicants import applicants, raw_applicants, raw_names
+from ledgerloom.catalog.impute_queries import RAW_FILLED, RAW_LAST
 from ledgerloom.catalog.registry import register
 from ledgerloom.operators import encode, impute, profile, split
 from ledgerloom.operators.features import add_age_bin, label_repayment_ok
+from ledgerloom.plans.shared import materialize
 
 _COLUMNS = [c for c in raw_names().values()]
 _NUMERIC = [c for c in _COLUMNS if c not in fv.TEXT_COLUMNS and c not in ("unique_id", "target")]
@@ -57,55 +59,43 @@ def missing_above(spark, sf_dir):
     return _round(profile.missing_above(applicants(spark, sf_dir), 0.5, _ALL), "missing_fraction")
 
 
-_REDUCED = ["var_37", "var_44", "var_53", "var_40", "var_32", "age", "id"]
-_REDUCED_SQL = """, a as (select *, age as age_before from raw),
-filled as (
-  select id, coalesce(age, case when target_income > 50000 then 1 else 30 end) as age,
-    coalesce(var_32, 1) as var_32, coalesce(var_37, 1) as var_37,
-    coalesce(var_44, 1) as var_44,
-    coalesce(var_53, 1) as var_53,
-    case when var_40 is null and coalesce(age, case when target_income > 50000
-        then (select avg(age) from raw) else 30 end) > 40 and var_53 is null then null else 1 end as var_40
-  from raw)"""
+_RAW = list(raw_names())
 
 
-@register("missing_reduction", _REDUCED_SQL + _shares_sql(_REDUCED, "raw", "before")
-          + _shares_sql(_REDUCED, "filled", "after") + """
+@register("missing_reduction", RAW_FILLED + _shares_sql(_RAW, "raw", "before")
+          + _shares_sql(_RAW, RAW_LAST, "after") + """
 select b.feature, 'Before (%)' as stage, round(b.missing_fraction * 100, 6) as missing_percent
 from before b where b.missing_fraction > 0
 union all
 select b.feature, 'After (%)', round(a.missing_fraction * 100, 6)
 from before b join after a on a.feature = b.feature where b.missing_fraction > 0""")
 def missing_reduction(spark, sf_dir):
-    raw = raw_applicants(spark, sf_dir)
-    rules = [r for r in impute.rules_by_id() if r.column in _REDUCED]
-    filled = impute.ImputeRules(rules).fit(raw).transform(raw)
-    return _round(profile.missing_reduction(raw, filled, _REDUCED), "missing_percent")
+    raw = materialize(raw_applicants(spark, sf_dir), "raw")
+    filled = impute.ImputeRules(impute.rules_by_id()).fit(raw).transform(raw)
+    return _round(profile.missing_reduction(raw, filled, _RAW), "missing_percent")
 
 
-@register("residual_nulls", _REDUCED_SQL + """
-select 'age' as feature, count(*) - count(age) as nulls from filled
-union all select 'var_40', count(*) - count(var_40) from filled
-union all select 'var_53', count(*) - count(var_53) from filled""")
+@register("residual_nulls", RAW_FILLED + " select * from (" + " union all ".join(
+    f"select '{c}' as feature, count(*) - count({c}) as nulls from {RAW_LAST}" for c in _RAW) + ")")
 def residual_nulls(spark, sf_dir):
-    raw = raw_applicants(spark, sf_dir)
-    rules = [r for r in impute.rules_by_id() if r.column in _REDUCED]
-    filled = impute.ImputeRules(rules).fit(raw).transform(raw)
-    return profile.residual_nulls(filled, ["age", "var_40", "var_53"])
+    raw = materialize(raw_applicants(spark, sf_dir), "raw")
+    filled = impute.ImputeRules(impute.rules_by_id()).fit(raw).transform(raw)
+    return profile.residual_nulls(filled, _RAW)
 
 
-_DESCRIBED = ["age", "credit_score", "target", "loan_amt_1", "loan_amt_9", "balance_12"]
+_DESCRIBED = [*_NUMERIC, "target"]
 
 
 @register("describe", ", described as (" + " union all ".join(
     f"""select '{c}' as feature, count({c}) as count, avg({c}) as mean, stddev_samp({c}) as std,
     min({c}) as min, quantile_cont({c}, 0.25) as q25, quantile_cont({c}, 0.5) as q50,
     quantile_cont({c}, 0.75) as q75, max({c}) as max from app""" for c in _DESCRIBED) + """)
-select feature, count, round(mean, 4) as mean, round(std, 4) as std, min, round(q25, 4) as q25,
-  round(q50, 4) as q50, round(q75, 4) as q75, max from described""")
+select feature, count, round(mean, 4) as mean, round(std, 4) as std, min, round(q25, 7) as q25,
+  round(q50, 7) as q50, round(q75, 7) as q75, max from described""")
 def describe(spark, sf_dir):
     table = profile.describe(applicants(spark, sf_dir), _DESCRIBED)
-    return table.withColumns({c: F.round(c, 4) for c in ("mean", "std", "q25", "q50", "q75")})
+    # Quartiles of amounts of four digits have up to six; a round to fewer would cut at ties.
+    return table.withColumns({c: F.round(c, d) for c, d in (("mean", 4), ("std", 4), ("q25", 7), ("q50", 7), ("q75", 7))})
 
 
 _TEXT = [c for c in _COLUMNS if c in fv.TEXT_COLUMNS]
@@ -146,36 +136,26 @@ def corr_with_target(spark, sf_dir):
     return _round(profile.corr_with_target(applicants(spark, sf_dir), _NUMERIC), "correlation")
 
 
-# Columns that repeat another one tie exactly, so the extremes leave them out.
-_DISTINCT = [c for c in _NUMERIC if c not in (
-    "credit_limit_recent_1", "loan_amt_recent", "total_inquiries_recent", "total_loan_recent")]
-
-
-@register("corr_extremes", _corr_sql(_DISTINCT) + """
-select * from (select feature, round(correlation, 6) as correlation, 'top' as side from corr_rows
-  order by corr_rows.correlation desc, feature limit 15)
+@register("corr_extremes", _corr_sql(_NUMERIC) + """, six as (
+  select feature, round(correlation, 6) as correlation from corr_rows)
+select * from (select *, 'top' as side from six order by correlation desc, feature limit 15)
 union all
-select * from (select feature, round(correlation, 6) as correlation, 'bottom' as side from corr_rows
-  order by corr_rows.correlation, feature desc limit 10)""")
+select * from (select *, 'bottom' as side from six order by correlation, feature desc limit 10)""")
 def corr_extremes(spark, sf_dir):
-    return _round(profile.corr_extremes(applicants(spark, sf_dir), _DISTINCT), "correlation")
-
+    return profile.corr_extremes(applicants(spark, sf_dir), _NUMERIC)
 
-_MATRIX = ["age", "credit_score", "target", "loan_amt_1", "loan_amt_5", "balance_12", "total_emi_1",
-           "repayment_3", "closed_loan"]
 
+_MATRIX = [*_NUMERIC, "target"]
 
-def _pair_sql(x: str, y: str) -> str:
-    both = f"{x} is not null and {y} is not null"
-    return (f"covar_pop({x}, {y}) / nullif(sqrt(var_pop({x}) filter ({both}) * "
-            f"var_pop({y}) filter ({both})), 0)")
 
-
-@register("corr_matrix", ", pairs as (select " + ", ".join(
-    f"{_pair_sql(x, y)} as k{i}_{j}" for i, x in enumerate(_MATRIX) for j, y in enumerate(_MATRIX))
-    + " from app) " + " union all ".join(
-    f"select '{x}' as feature_x, '{y}' as feature_y, round(k{i}_{j}, 6) as correlation from pairs"
-    for i, x in enumerate(_MATRIX) for j, y in enumerate(_MATRIX)))
+@register("corr_matrix", ", cells as (" + " union all ".join(
+    f"select unique_id, '{c}' as feature, {c} as v from app where {c} is not null" for c in _MATRIX) + """),
+names as (select unnest([""" + ", ".join(f"'{c}'" for c in _MATRIX) + """]) as feature),
+pairs as (
+  select a.feature as x, b.feature as y, covar_pop(a.v, b.v) as c, var_pop(a.v) as p, var_pop(b.v) as q
+  from cells a join cells b using (unique_id) group by a.feature, b.feature)
+select m.feature as feature_x, n.feature as feature_y, round(c / nullif(sqrt(p * q), 0), 6) as correlation
+from names m cross join names n left join pairs on m.feature = x and n.feature = y""")
 def corr_matrix(spark, sf_dir):
     return _round(profile.corr_matrix(applicants(spark, sf_dir), _MATRIX), "correlation")
 
@@ -209,27 +189,36 @@ def value_counts(spark, sf_dir):
 
 # ---- encodings ---------------------------------------------------------------
 
-_SCALED = ["age", "credit_score", "loan_amt_1", "balance_12"]
+_SCALED = [*_NUMERIC, "target"]
 
 
 @register("standard_scale", "select unique_id, " + ", ".join(
-    f"round(({c} - (select avg({c}) from app)) / (select stddev_pop({c}) from app), 6) as {c}"
+    f"round(({c} - (select avg({c}) from app)) / (select coalesce(nullif(stddev_pop({c}), 0), 1) from app), 6) as {c}"
     for c in _SCALED) + " from app")
 def standard_scale(spark, sf_dir):
     df = applicants(spark, sf_dir).select("unique_id", *_SCALED)
     return _round(encode.standard_scale(df, _SCALED), *_SCALED)
 
 
-_HOMES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+def _slots_sql(source: str, columns) -> str:
+    """(unique_id, slot, value) of every category that a row has."""
+    return " union all ".join(
+        f"select unique_id, concat('{c}_', {_quoted(c)}) as slot, 1.0::double as value from {source}"
+        f" where {_quoted(c)} is not null" for c in columns)
+
 
+def _long(df, columns):
+    """The nonzero cells of the columns as (unique_id, slot, value)."""
+    cells = df.select("unique_id", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    return cells.unpivot("unique_id", [F.col(f"`{c}`") for c in columns], "slot", "value").where("value <> 0")
 
-@register("one_hot", "select unique_id, " + ", ".join(
-    f"case when gender = '{v}' then 1 else 0 end as gender_{v}" for v in ("FEMALE", "MALE")) + ", "
-    + ", ".join(f"case when residence_ownership = '{v}' then 1 else 0 end as residence_ownership_{v}"
-                for v in _HOMES) + " from app")
+
+@register("one_hot", " select * from (" + _slots_sql("app", _TEXT) + ")")
 def one_hot(spark, sf_dir):
-    df = applicants(spark, sf_dir).select("unique_id", "gender", "residence_ownership")
-    return encode.fit_one_hot(df, ["gender", "residence_ownership"]).transform(df)
+    """Every text column; the ones of the wide result, in long form."""
+    df = materialize(applicants(spark, sf_dir).select("unique_id", *[F.col(f"`{c}`") for c in _TEXT]), "texts")
+    fitted = encode.fit_one_hot(df, _TEXT)
+    return _long(fitted.transform(df), fitted.names())
 
 
 _AGE_SQL = """case when age < 25 then '<25' when age < 35 then '25-34' when age < 45 then '35-44'
@@ -265,27 +254,26 @@ def target_encode(spark, sf_dir):
     return encoded.select("unique_id", *[F.round(c, 4).alias(c) for c in _ENCODED])
 
 
-_VECTOR_NUMERIC = ["age", "credit_score", "loan_amt_9"]
-
-
-@register("column_transformer", f""", m as (select unique_id, coalesce(gender, 'Missing') as gender, {', '.join(
-    f'coalesce({c}, (select quantile_cont({c}, 0.5) from app)) as {c}' for c in _VECTOR_NUMERIC)} from app)
-select unique_id, """ + ", ".join(
-    f"round(({c} - (select avg({c}) from m)) / (select stddev_pop({c}) from m), 6) as {c}"
-    for c in _VECTOR_NUMERIC) + """,
-  case when gender = 'FEMALE' then 1.0::double else 0.0::double end as gender_FEMALE,
-  case when gender = 'MALE' then 1.0::double else 0.0::double end as gender_MALE,
-  case when gender = 'Missing' then 1.0::double else 0.0::double end as gender_Missing from m""")
+@register("column_transformer", ", filled as (select unique_id, " + ", ".join(
+    f"coalesce({c}, (select quantile_cont({c}, 0.5) from app)) as {c}" for c in _NUMERIC) + ", " + ", ".join(
+    f"coalesce({_quoted(c)}, 'Missing') as {_quoted(c)}" for c in _TEXT) + """ from app),
+moments as (select """ + ", ".join(
+    f"avg({c}) as m{i}, coalesce(nullif(stddev_pop({c}), 0), 1) as s{i}" for i, c in enumerate(_NUMERIC)) + """ from filled),
+slots as (""" + _slots_sql("filled", _TEXT) + " union all " + " union all ".join(
+    f"select unique_id, '{c}', ({c} - m{i}) / s{i} from filled, moments" for i, c in enumerate(_NUMERIC)) + """)
+select unique_id, slot, round(value, 6) as value from slots where round(value, 6) <> 0""")
 def column_transformer(spark, sf_dir):
-    """Median, scaling, one-hot and assembly; the slots come back under their feature names."""
-    df = applicants(spark, sf_dir).select("unique_id", "gender", *_VECTOR_NUMERIC)
+    """Medians, scaling, one-hot and assembly of all columns; nonzero slots under their feature names."""
+    df = materialize(applicants(spark, sf_dir).select(
+        "unique_id", *[F.col(f"`{c}`") for c in [*_NUMERIC, *_TEXT]]), "columns")
     filled = impute.fill_constants(
-        impute.fit_medians(df, _VECTOR_NUMERIC).transform(df), {"gender": "Missing"})
-    scaled = encode.standard_scale(filled, _VECTOR_NUMERIC)
-    vectors = Pipeline(stages=encode.assemble(_VECTOR_NUMERIC, ["gender"])).fit(scaled).transform(scaled)
-    slots = vector_to_array("features")
-    return vectors.select("unique_id", *[
-        F.round(slots[i], 6).alias(n) for i, n in enumerate(encode.feature_names(vectors))])
+        impute.fit_medians(df, _NUMERIC).transform(df), {c: "Missing" for c in _TEXT})
+    scaled = encode.standard_scale(filled, _NUMERIC)
+    vectors = Pipeline(stages=encode.assemble(_NUMERIC, _TEXT)).fit(scaled).transform(scaled)
+    names = F.array(*[F.lit(n) for n in encode.feature_names(vectors)])
+    cells = vectors.select("unique_id", F.posexplode(vector_to_array("features")).alias("i", "value"))
+    found = cells.where("round(value, 6) <> 0")
+    return found.select("unique_id", names[F.col("i")].alias("slot"), F.round("value", 6).alias("value"))
 
 
 # ---- splits ------------------------------------------------------------------
@@ -295,8 +283,12 @@ def bucket_sql(seed: int, digits: int = 8, buckets: int | None = 100) -> str:
     return number if buckets is None else f"({number} % {buckets})"
 
 
+def held_out_sql(fraction: float = 0.2, seed: int = 42) -> str:
+    return f"({bucket_sql(seed, 8, None)} < {fraction} * 4294967296)"
+
+
 @register("split_holdout", f"""
-select unique_id, case when {bucket_sql(42)} < 20 then 'test' else 'train' end as side from app""")
+select unique_id, case when {held_out_sql()} then 'test' else 'train' end as side from app""")
 def split_holdout(spark, sf_dir):
     train, test = split.split_holdout(applicants(spark, sf_dir).select("unique_id"), "unique_id")
     return train.withColumn("side", F.lit("train")).union(test.withColumn("side", F.lit("test")))

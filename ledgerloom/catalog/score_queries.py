@@ -242,7 +242,8 @@ select unique_id, upper(gender) as gender, round((credit_score - 300) / 600, 6)
   case when (credit_score - 300) / 600 > 0.8 then 'above_limit'
     when (credit_score - 300) / 600 >= 0.6 then 'up_to_limit'
     when credit_score is not null then 'improve_profile' end as eligibility,
-  case when (credit_score - 300) / 600 >= threshold then 'Good' else 'Bad' end as status
+  case when (credit_score - 300) / 600 >= threshold then 'Good'
+    when (credit_score - 300) / 600 < threshold then 'Bad' end as status
 from checked where reasons = ''""")
 def score_stream_scored(spark, sf_dir):
     return read_scored(spark, _run_stream(spark, sf_dir))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +24,19 @@ def rename_by_mapping(df: DataFrame, mapping: Mapping[str, str], reverse: bool =
 
 
 def dedupe_column_names(df: DataFrame) -> DataFrame:
-    """Second ``x`` becomes ``x_dup1``, the third ``x_dup2``."""
-    seen: Counter[str] = Counter()
-    unique = []
-    for name in df.columns:
-        unique.append(f"{name}_dup{seen[name]}" if seen[name] else name)
-        seen[name] += 1
-    return df.toDF(*unique)
+    """Every name once: the first ``x`` stays, the next are ``x_dup1``, ``x_dup2``, ...
+
+    A name that the table brings along is never given to another column: with
+    ``x, x, x_dup1`` the second ``x`` becomes ``x_dup2``.
+    """
+    own = set(df.columns)
+
+    def new_names(name: str) -> Iterator[str]:
+        yield name
+        yield from (made for n in count(1) if (made := f"{name}_dup{n}") not in own)
+
+    names = {name: new_names(name) for name in own}
+    return df.toDF(*[next(names[name]) for name in df.columns])
 
 
 def drop_identifiers(df: DataFrame, columns: Sequence[str] = tuple(IDENTIFIER_COLUMNS)) -> DataFrame:
@@ -142,3 +148,12 @@ def copy_columns(df: DataFrame, copies: Mapping[str, str], absent=0) -> DataFram
 def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """The first rows in a stated order (a top-k, not a full sort)."""
     return df.orderBy(*order).limit(n)
+
+
+def one_row_per_key(table: DataFrame, key: str) -> DataFrame:
+    """The smallest row of every key, by the other columns in their order."""
+    others = [c for c in table.columns if c != key]
+    if not others:
+        return table.distinct()
+    smallest = table.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_row"))
+    return smallest.select(key, "_row.*")

@@ -16,10 +16,6 @@ from ledgerloom.functions.text import as_double, literal, named, quoted
 from ledgerloom.plans.cells import collected
 from ledgerloom.plans.shared import materialize
 
-# One vector slot per category: more than this many is a sign that the column
-# should be target-encoded, and is refused rather than cut off.
-MOST_CATEGORIES = 50_000
-
 
 @dataclass(frozen=True)
 class Scaling:
@@ -46,52 +42,32 @@ def standard_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return fit_scaling(df, columns).transform(df)
 
 
-# Up to this many categories of a column are looked up by an expression in the
-# projection, more by a join, which Spark broadcasts only below its size threshold.
-FEW_CATEGORIES = 64
-
-
 @dataclass(frozen=True)
 class TargetEncoding:
-    """Encoded value of every category seen in training, and the overall mean.
-
-    ``few`` repeats the codes of the columns that have few categories.
-    """
+    """Encoded value of every category seen in training, in a stored table (feature,
+    category, n, encoded), and the overall mean."""
 
     columns: list[str]
     table: DataFrame
     prior: float
-    few: dict[str, dict[str, float]]
-
-    @staticmethod
-    def of(columns: Sequence[str], table: DataFrame, prior: float) -> TargetEncoding:
-        """From a stored table (feature, category, n, encoded)."""
-        sizes = {r["feature"]: r["count"] for r in table.groupBy("feature").count().collect()}
-        few: dict[str, dict[str, float]] = {c: {} for c in columns if sizes.get(c, 0) <= FEW_CATEGORIES}
-        for r in table.where(F.col("feature").isin(list(few))).collect() if few else []:
-            few[r["feature"]][r["category"]] = r["encoded"]
-        return TargetEncoding(list(columns), table, prior, few)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Replace the columns by numbers; unseen and missing categories get the prior."""
+        """Replace the columns by numbers; unseen and missing categories get the prior.
+
+        One join per column with its stored codes, which Spark broadcasts only below its
+        size threshold and otherwise shuffles, splitting hot categories.
+        """
         out = df
         for c in self.columns:
-            if c not in self.few:
-                codes = self.table.where(F.col("feature") == c).select(
-                    F.col("category").alias("_category"), F.col("encoded").alias(f"_encoded_{c}"))
-                out = out.join(codes, F.col(f"`{c}`").cast("string") == F.col("_category"), "left")
-                out = out.drop("_category")
-
-        def encoded(c: str) -> str:
-            if c not in self.columns:
-                return quoted(c)
-            code = quoted(f"_encoded_{c}")
-            if c in self.few:
-                cases = " ".join(f"when {literal(k)} then {literal(v)}" for k, v in self.few[c].items())
-                code = f"case cast({quoted(c)} as string) {cases} end" if cases else "cast(null as double)"
-            return named(f"coalesce({code}, {literal(self.prior)})", c)
-
-        return out.selectExpr(*[encoded(c) for c in df.columns])
+            codes = self.table.where(F.col("feature") == c).select(
+                F.col("category").alias("_category"), F.col("encoded").alias(f"_encoded_{c}"))
+            out = out.join(codes, F.col(f"`{c}`").cast("string") == F.col("_category"), "left")
+            out = out.drop("_category")
+        return out.selectExpr(*[
+            named(f"coalesce({quoted(f'_encoded_{c}')}, {literal(self.prior)})", c)
+            if c in self.columns else quoted(c)
+            for c in df.columns
+        ])
 
 
 class TargetEncode:
@@ -122,17 +98,7 @@ class TargetEncode:
 
     def fit(self, df: DataFrame, target: str) -> TargetEncoding:
         table, prior = self.encoded_table(df, target)
-        return TargetEncoding.of(self.columns, materialize(table, "target-encoding"), prior)
-
-
-def check_categories(df: DataFrame, columns: Sequence[str]) -> None:
-    """Refuse columns whose one-hot vector would not fit the driver and every row."""
-    if not columns:
-        return
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    wide = [c for c in columns if row[c] > MOST_CATEGORIES]
-    if wide:
-        raise ValueError(f"too many categories for one-hot, use TargetEncode: {', '.join(wide)}")
+        return TargetEncoding(self.columns, materialize(table, "target-encoding"), prior)
 
 
 def one_hot_stages(columns: Sequence[str]) -> list:
@@ -178,7 +144,6 @@ class OneHot:
 
 
 def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> OneHot:
-    check_categories(df, columns)
     return OneHot(list(columns), Pipeline(stages=one_hot_stages(columns)).fit(df))
 
 

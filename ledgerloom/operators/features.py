@@ -13,9 +13,9 @@ from ledgerloom.functions.rowwise import (
     row_count, row_max, row_mean, row_std, row_sum, select_family,
 )
 from ledgerloom.functions.scalars import age_bin, minmax, minmax_inverse, ratio
-from ledgerloom.operators.columns import numeric_columns
+from ledgerloom.operators.columns import numeric_columns, one_row_per_key
 from ledgerloom.plans.order_stats import exact_quantiles
-from ledgerloom.plans.shared import materialize
+from ledgerloom.plans.shared import Stored, materialize
 
 _PATTERNS = {
     "regex": fv.FAMILY_REGEX, "prefix": fv.FAMILY_PREFIX, "substring": fv.FAMILY_SUBSTRING}
@@ -33,13 +33,31 @@ def families(df: DataFrame, mode: str = "regex", exclude_flags: bool = True) ->
 def add_overall_families(
     df: DataFrame, mode: str = "regex", exclude_flags: bool = True
 ) -> DataFrame:
-    """total_/avg_..._overall for credit limits, balances, EMIs, inquiries and loans."""
+    """total_/avg_..._overall for credit limits, balances, EMIs, inquiries and loans.
+
+    A row without any slot of a family keeps the total it was supplied with, which
+    ``set_aside_totals`` has put out of the way.
+    """
     new = {}
     for family, columns in families(df, mode, exclude_flags).items():
         if columns and family in fv.OVERALL_NAMES:
             total, average = fv.OVERALL_NAMES[family]
             new[total], new[average] = row_sum(columns), row_mean(columns)
-    return df.withColumns(new)
+            if _supplied(total) in df.columns:
+                given = F.col(_supplied(total))
+                bare = (row_count(columns) == 0) & given.isNotNull()
+                new[total] = F.when(bare, given).otherwise(new[total])
+    return df.withColumns(new).drop(*[_supplied(total) for total, _ in fv.OVERALL_NAMES.values()])
+
+
+def _supplied(total: str) -> str:
+    return f"_supplied_{total}"
+
+
+def set_aside_totals(df: DataFrame) -> DataFrame:
+    """Totals that come with the rows, under names that ``add_overall_families`` knows."""
+    given = [total for total, _ in fv.OVERALL_NAMES.values() if total in df.columns]
+    return df.withColumns({_supplied(t): F.col(t).cast("double") for t in given}).drop(*given)
 
 
 def add_repayment_behaviour(df: DataFrame, mode: str = "regex", exclude_flags: bool = True) -> DataFrame:
@@ -193,6 +211,31 @@ def frequency(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(counts, key == F.col("_key"), "left").drop("_key")
 
 
+@dataclass(frozen=True)
+class Frequency:
+    """How many training rows share each value of a column, in a stored table (value, n)."""
+
+    column: str
+    name: str
+    table: DataFrame
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add the count, 0 for a value not seen in training; a count that the row brings along stays."""
+        key = F.coalesce(F.col(f"`{self.column}`").cast("string"), F.lit("nan"))
+        counts = self.table.select(F.col("value").alias("_value"), F.col("n").alias("_n"))
+        joined = df.join(counts, key == F.col("_value"), "left")
+        found = F.coalesce("_n", F.lit(0)).cast("double")
+        if self.name in df.columns:
+            found = F.coalesce(F.col(self.name).cast("double"), found)
+        return joined.withColumn(self.name, found).drop("_value", "_n")
+
+
+def fit_frequency(df: DataFrame, column: str, name: str) -> Frequency:
+    key = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("nan"))
+    counts = df.groupBy(key.alias("value")).agg(F.count("*").alias("n"))
+    return Frequency(column, name, materialize(counts, "frequency"))
+
+
 def log1p_columns(df: DataFrame, columns: Sequence[str], suffix: str = "_log") -> DataFrame:
     """Add log(1 + x) copies, null where undefined."""
     return df.withColumns({
@@ -230,8 +273,8 @@ def minmax_scale(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def fit_income_cut(df: DataFrame, target: str = "target") -> float | None:
     """The median income that separates the two repayment classes."""
-    stored = materialize(df.select(target), "income")
-    return exact_quantiles(stored, {target: [0.5]})[(target, 0.5)]
+    with Stored(df.select(target), "income") as stored:
+        return exact_quantiles(stored, {target: [0.5]})[(target, 0.5)]
 
 
 def label_repayment_status(
@@ -250,7 +293,7 @@ def label_repayment_ok(df: DataFrame, target: str = "target", name: str = "repay
 def enrich_external(
     df: DataFrame, table: DataFrame, key: str, columns: Sequence[str] = tuple(fv.EXTERNAL_COLUMNS)
 ) -> DataFrame:
-    """Left-join real area or behaviour columns (unique ``key``) that the row lacks."""
+    """Left-join real area or behaviour columns that the row lacks, the smallest row of each ``key``."""
     added = [c for c in columns if c in table.columns and c not in df.columns]
-    right = table.select(F.col(key).alias("_external_key"), *added)
+    right = one_row_per_key(table.select(F.col(key).alias("_external_key"), *added), "_external_key")
     return df.join(right, F.col(f"`{key}`") == F.col("_external_key"), "left").drop("_external_key")

@@ -19,10 +19,10 @@ from pyspark.sql import types as T
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.text import as_double, literal, named, quoted
-from ledgerloom.operators.columns import coerce_numeric, numeric_columns, text_columns
+from ledgerloom.operators.columns import coerce_numeric, numeric_columns, one_row_per_key, text_columns
 from ledgerloom.plans.cells import collected
 from ledgerloom.plans.order_stats import exact_modes, exact_quantiles
-from ledgerloom.plans.shared import materialize
+from ledgerloom.plans.shared import Stored, materialize
 from ledgerloom.sources.applicants import participant_mapping
 
 _STATISTIC = re.compile(r"\{(\w+):(\w+)\}")
@@ -42,6 +42,8 @@ class Rule:
     needs: tuple[str, ...] = ()
     otherwise: str = "0"
     numeric: bool = True
+    #: Columns of which those present are counted where positive, in place of ``fill``.
+    counts: tuple[str, ...] = ()
 
 
 def _count_positive(columns: Sequence[str]) -> str:
@@ -68,8 +70,7 @@ def rules_by_id() -> list[Rule]:
         elif column in fv.LOAN_COUNT_IDS:
             rules.append(Rule(column, "var_53", ("var_53",)))
         elif column == "var_53":
-            rules.append(Rule(
-                column, _count_positive(fv.LOAN_AMOUNT_IDS), tuple(fv.LOAN_AMOUNT_IDS)))
+            rules.append(Rule(column, "", counts=tuple(fv.LOAN_AMOUNT_IDS)))
         else:
             rules.append(Rule(column, f"{{median:{column}}}"))
     return rules + text_rules()
@@ -105,7 +106,7 @@ def rules_by_meaning() -> list[Rule]:
     zero += ["total_inquiries_2"] + [f"total_inquires_{i}" for i in range(3, 7)]
     rules += [Rule(c, "0") for c in zero]
     rules += [Rule(f"repayment_{i}", "repayment_1", ("repayment_1",)) for i in range(2, 11)]
-    rules.append(Rule("total_loans_1", _count_positive(loans), tuple(loans)))
+    rules.append(Rule("total_loans_1", "", counts=tuple(loans)))
     rules += [Rule(c, "total_loans_1", ("total_loans_1",)) for c in (
         "total_loans_2", "total_loans_2_dup1", "total_loans_3", "total_loans_4", "total_loans_5")]
     rules += [
@@ -150,9 +151,8 @@ class ImputeRules:
         for rule in self.rules:
             if rule.column not in present:
                 continue
-            counting = rule.fill.startswith("if(") and not set(rule.needs) <= present
-            if counting:
-                there = [c for c in rule.needs if c in present]
+            if rule.counts:
+                there = [c for c in rule.counts if c in present]
                 active.append((rule, _count_positive(there), there))
             elif set(rule.needs) <= present:
                 active.append((rule, rule.fill, list(rule.needs)))
@@ -198,7 +198,11 @@ def _statistics(df: DataFrame, wanted: set[tuple[str, str]]) -> dict[tuple[str,
         return {}
     numeric = sorted({c for kind, c in wanted if kind != "mode"})
     text = sorted({c for kind, c in wanted if kind == "mode"})
-    stored = materialize(coerce_numeric(df.select(*numeric, *text), numeric), "statistics")
+    with Stored(coerce_numeric(df.select(*numeric, *text), numeric), "statistics") as stored:
+        return _gathered(stored, wanted, text)
+
+
+def _gathered(stored: DataFrame, wanted: set[tuple[str, str]], text: Sequence[str]) -> dict:
     found: dict[tuple[str, str], object] = {}
     means = [c for kind, c in sorted(wanted) if kind == "mean"]
     rows = collected(stored, means, {"mean": "avg(value)"})
@@ -227,8 +231,8 @@ class FillValues:
 
 def fit_medians(df: DataFrame, columns: Sequence[str] | None = None) -> FillValues:
     columns = list(columns or numeric_columns(df))
-    stored = materialize(df.select(*columns), "medians")
-    quantiles = exact_quantiles(stored, {c: [0.5] for c in columns})
+    with Stored(df.select(*[F.col(f"`{c}`") for c in columns]), "medians") as stored:
+        quantiles = exact_quantiles(stored, {c: [0.5] for c in columns})
     return FillValues({c: quantiles[(c, 0.5)] for c in columns})
 
 
@@ -264,18 +268,19 @@ def impute_from_lookup(
     df: DataFrame, lookup: DataFrame, key: str, columns: Sequence[str],
     fallback: Mapping[str, str | None] | None = None,
 ) -> DataFrame:
-    """Fill gaps from a lookup table (unique ``key``), then with the fallback.
+    """Fill gaps from a lookup table, then with the fallback.
 
-    A left join: Spark broadcasts the lookup when it is under its size threshold
+    Of several lookup rows with one key, the smallest (by the columns in their order)
+    counts, so rows are never doubled. A left join: Spark broadcasts the lookup when it is under its size threshold
     and otherwise shuffles, splitting hot keys adaptively. Without ``fallback``
     the columns' modes are used.
     """
     if fallback is None:
         fallback = {c: fv.NO_MODE if m is None else m for c, m in exact_modes(df, columns).items()}
     names = {c: f"_lookup_{c}" for c in columns}
-    right = lookup.select(
+    right = one_row_per_key(lookup.select(
         F.col(key).cast("string").alias("_lookup_key"),
-        *[F.col(c).alias(n) for c, n in names.items()])
+        *[F.col(c).alias(n) for c, n in names.items()]), "_lookup_key")
     joined = df.join(right, F.col(f"`{key}`").cast("string") == F.col("_lookup_key"), "left")
     return joined.selectExpr(*[
         named(f"coalesce({quoted(c)}, {names[c]}, {literal(fallback[c])})", c)
@@ -325,6 +330,7 @@ def missing_indicators(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def impute_applicants(df: DataFrame, rules: Sequence[Rule] | None = None,
                       lookup: DataFrame | None = None) -> DataFrame:
     """The whole imputation of an applicant table with raw column names."""
+    df = materialize(df, "to-impute")  # read for the statistics and again for the result
     fitted = ImputeRules(rules_by_id() if rules is None else rules).fit(df)
     places = [c for c in ("city", "state") if c in df.columns]
     if "pin" in df.columns and places:

@@ -18,7 +18,7 @@ from ledgerloom.functions.text import as_double, literal, quoted
 from ledgerloom.operators.columns import numeric_columns
 from ledgerloom.plans.cells import by_column, collected
 from ledgerloom.plans.order_stats import exact_quantiles
-from ledgerloom.plans.shared import materialize
+from ledgerloom.plans.shared import Stored
 
 
 _NULL_SHARE = {"missing_fraction": "avg(cast(value as double))"}
@@ -66,16 +66,19 @@ def missing_reduction(before: DataFrame, after: DataFrame, columns: Sequence[str
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, sample std, min, exact quartiles and max of numeric columns."""
     columns = list(columns or numeric_columns(df))
-    stored = materialize(df.select(*columns), "describe")
-    moments = by_column(stored, columns, {
-        "count": "count(value)", "mean": "avg(value)", "std": "stddev_samp(value)",
-        "min": "min(value)", "max": "max(value)"})
-    quartiles = exact_quantiles(stored, {c: [0.25, 0.5, 0.75] for c in columns})
-    rows = [(c, *[quartiles[(c, s)] for s in (0.25, 0.5, 0.75)]) for c in columns]
-    table = df.sparkSession.createDataFrame(
-        rows, "feature string, q25 double, q50 double, q75 double")
-    return moments.join(table, "feature").select(
-        "feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    with Stored(df.select(*[F.col(f"`{c}`") for c in columns]), "describe") as stored:
+        moments = collected(stored, columns, {
+            "count": "count(value)", "mean": "avg(value)", "std": "stddev_samp(value)",
+            "min": "min(value)", "max": "max(value)"})
+        quartiles = exact_quantiles(stored, {c: [0.25, 0.5, 0.75] for c in columns})
+    rows = []
+    for c in columns:
+        m = moments[c].asDict() if c in moments else {"count": 0}  # a table without rows has no groups
+        ends = [m.get("min"), *[quartiles[(c, s)] for s in (0.25, 0.5, 0.75)], m.get("max")]
+        rows.append((c, m["count"], m.get("mean"), m.get("std"), *ends))
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, count long, mean double, std double, min double, q25 double, q50 double,"
+        " q75 double, max double")
 
 
 def type_counts(df: DataFrame) -> DataFrame:
@@ -102,8 +105,12 @@ def corr_with_target(df: DataFrame, columns: Sequence[str], target: str = "targe
 def corr_extremes(
     df: DataFrame, columns: Sequence[str], target: str = "target", top: int = 15, bottom: int = 10
 ) -> DataFrame:
-    """The most and least correlated features, labelled by ``side``."""
-    table = corr_with_target(df, columns, target)
+    """The most and least correlated features, labelled by ``side``.
+
+    Correlations are compared to six digits, then by name: columns that repeat one
+    another differ in the last digits only.
+    """
+    table = corr_with_target(df, columns, target).withColumn("correlation", F.round("correlation", 6))
     most = table.orderBy(F.desc("correlation"), "feature").limit(top)
     least = table.orderBy("correlation", F.desc("feature")).limit(bottom)
     return most.withColumn("side", F.lit("top")).union(least.withColumn("side", F.lit("bottom")))

@@ -32,7 +32,8 @@ def apply_threshold(
     """Add prediction 0/1, status Good/Bad and the threshold used.
 
     ``threshold`` is a number, or the name of a column whose nulls mean 0.5.
-    A number outside 0-1 is an error; rows whose own threshold is get no prediction.
+    A number outside 0-1 is an error; rows whose own threshold is outside, or whose
+    probability is missing, get neither prediction nor status.
     """
     if isinstance(threshold, str):
         limit = F.coalesce(F.col(threshold), F.lit(DEFAULT_THRESHOLD))
@@ -43,7 +44,7 @@ def apply_threshold(
     good = F.col(probability) >= limit
     return df.withColumns({
         "prediction": F.when(limit.between(0, 1), good.cast("int")),
-        "status": F.when(limit.between(0, 1), F.when(good, "Good").otherwise("Bad")),
+        "status": F.when(limit.between(0, 1), F.when(good, "Good").when(~good, "Bad")),
         "threshold": limit,
     })
 

@@ -9,17 +9,19 @@ from ledgerloom import fixed_values as fv
 from ledgerloom.functions.scalars import hash_fraction_bucket, hash_number
 from ledgerloom.plans.order_stats import exact_quantiles
 from ledgerloom.plans.numbering import number_rows
-from ledgerloom.plans.shared import materialize
+from ledgerloom.plans.shared import Stored
 
 
 def holdout_flag(key: str, fraction: float = 0.2, seed: int = fv.SPLIT_SEED) -> Column:
-    return hash_fraction_bucket(F.col(f"`{key}`"), 100, seed) < int(round(fraction * 100))
+    """Whether the key's 32-bit hash lies in the given share of all hashes; false for a null key."""
+    inside = hash_number(F.col(f"`{key}`"), seed, digits=8) < F.lit(fraction * 2.0**32)
+    return F.coalesce(inside, F.lit(False))
 
 
 def split_holdout(
     df: DataFrame, key: str, fraction: float = 0.2, seed: int = fv.SPLIT_SEED
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the key."""
+    """(train, test) by a hash of the key; rows without a key are training rows."""
     test = holdout_flag(key, fraction, seed)
     return df.where(~test), df.where(test)
 
@@ -43,13 +45,15 @@ def stratified_flag(
     """Add ``is_test``: in each class the share with the lowest key hashes.
 
     The cut of a class is the hash at its rank, found without sorting the class,
-    so a class may hold any part of the rows. ``label`` must have few values.
+    so a class may hold any part of the rows. ``label`` must have few values. Rows
+    without a label or key are not test rows.
     """
     # 40 bits: exact as a double even after interpolation between neighbours.
     hashed = df.withColumn("_hash", hash_number(F.col(f"`{key}`"), seed, digits=10).cast("double"))
-    stored = materialize(hashed.select(label, "_hash"), "strata")
+    strata = Stored(hashed.select(label, "_hash").dropna(), "strata")
+    stored = strata.frame
     sizes = {r[label]: r["n"] for r in stored.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    classes = [c for c in sizes if c is not None]
+    classes = list(sizes)
     per_class = stored.select(*[
         F.when(F.col(label) == c, F.col("_hash")).alias(f"h{i}") for i, c in enumerate(classes)])
     is_test = F.lit(False)
@@ -59,11 +63,12 @@ def stratified_flag(
         for i, take in takes.items() if take > 0
     }
     cuts = exact_quantiles(per_class, shares)
+    strata.drop()
     for i, c in enumerate(classes):
         if takes[i] > 0:
             cut = round(cuts[(f"h{i}", shares[f"h{i}"][0])])
             is_test = is_test | ((F.col(label) == c) & (F.col("_hash") <= F.lit(float(cut))))
-    return hashed.withColumn("is_test", is_test).drop("_hash")
+    return hashed.withColumn("is_test", F.coalesce(is_test, F.lit(False))).drop("_hash")
 
 
 def split_stratified(

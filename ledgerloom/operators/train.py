@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.scalars import hash_fraction_bucket
-from ledgerloom.plans.shared import set_checkpoint_folder
+from ledgerloom.plans.shared import fresh_path, set_checkpoint_folder
 
 
 def _gbt_settings(params: Mapping | None, defaults: Mapping) -> dict:
@@ -117,7 +117,7 @@ def fit_two_targets(
     features: str = "features",
 ) -> tuple[Model, Model]:
     """A repayment classifier and an income regressor over one prepared frame."""
-    chosen = {**fv.BOOSTED_TREES, **(params or {})}
+    chosen = {**fv.BOOSTED_TREES, "feature_share": fv.BOOSTED_FEATURE_SHARE, **(params or {})}
     return (
         fit_boosted_classifier(train, label, chosen, features),
         fit_boosted_regressor(train, income, chosen, features),
@@ -211,24 +211,50 @@ def random_search(
     return sorted(scored, key=lambda item: item[1])
 
 
+@dataclass(frozen=True)
+class Boosted:
+    """Boosted models that continue one another: their predictions add up."""
+
+    models: tuple[Model, ...] = ()
+
+    def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        parts = [f"_part_{i}" for i in range(len(self.models))]
+        out = df
+        for part, model in zip(parts, self.models):
+            out = model.copy({model.predictionCol: part}).transform(out)
+        total = F.lit(0.0)
+        for part in parts:
+            total = total + F.col(part)
+        return out.withColumn(name, total).drop(*parts)
+
+
+def continue_boosting(
+    so_far: Boosted, train: DataFrame, label: str, params: Mapping | None = None, features: str = "features"
+) -> Boosted:
+    """More trees on new rows. For squared error the next trees fit what the model so far
+    leaves over, so this is boosting that goes on, not a new start."""
+    rest = so_far.transform(train, "_so_far").withColumn("_rest", F.col(label) - F.col("_so_far"))
+    model = fit_boosted_regressor(rest.drop("_so_far"), "_rest", params, features)
+    return Boosted((*so_far.models, model))
+
+
 def train_incremental(
     df: DataFrame, batch: str, label: str, key: str, params: Mapping | None = None,
     features: str = "features",
 ) -> DataFrame:
-    """Predictions for the held-out rows of every batch, by a model of the batches so far.
+    """Predictions for the held-out rows of every batch, by a model that each batch continues.
 
-    MLlib has no warm start, so batch b is scored by a model trained on the
-    training rows of batches 0..b. The number of batches should be small.
+    A batch trains on its own rows only and its scored rows are stored at once, so batch b
+    costs the same as the first but for the prediction with b models.
     """
     held_out = hash_fraction_bucket(F.col(f"`{key}`"), 100, fv.SPLIT_SEED) < 20
-    last = df.agg(F.max(batch).alias("last")).first()["last"]
-    scored = None
-    for b in range(int(last) + 1):
-        model = fit_boosted_regressor(
-            df.where((F.col(batch) <= b) & ~held_out), label, params, features)
-        part = model.transform(df.where((F.col(batch) == b) & held_out))
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+    folder = fresh_path(df.sparkSession, "incremental")
+    model = Boosted()
+    for b in [r[batch] for r in df.select(batch).distinct().orderBy(batch).collect()]:
+        own = df.where(F.col(batch) == b)
+        model = continue_boosting(model, own.where(~held_out), label, params, features)
+        model.transform(own.where(held_out)).write.mode("append").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
 
 
 def probability_of_one(df: DataFrame, name: str = "probability_of_one") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.fixed_values import REQUEST_ENUMS, REQUEST_RANGES, REQUIRED_FIELDS, SPARSE_FRACTION
 from ledgerloom.operators.profile import missing_fractions
+from ledgerloom.sources.applicants import CORRUPT
 
 
 def drop_null_target(df: DataFrame, columns: Sequence[str] = ("target",)) -> DataFrame:
@@ -37,6 +38,8 @@ def with_reasons(
     present = set(df.columns)
     normalised = df.withColumns({c: F.upper(F.col(c)) for c in enums if c in present})
     problems = []
+    if CORRUPT in present:
+        problems.append(F.when(F.col(CORRUPT).isNotNull(), F.concat(F.lit("malformed record: "), F.col(CORRUPT))))
     for name in required:
         text = f"missing {name}"
         problems.append(F.when(F.col(name).isNull(), text) if name in present else F.lit(text))

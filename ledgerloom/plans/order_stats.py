@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,112 +12,139 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import as_double, literal, named, quoted
 from ledgerloom.plans.cells import collected
 
-# A column is handed to the exact aggregate only when at most this many of its
-# rows are still candidates, which bounds the aggregate's memory.
-CANDIDATE_ROWS = 200_000
-SKETCH_ERROR = 0.001
+# Values strictly inside a bracket are put in order only when at most this many are left.
+CANDIDATES = 10_000
+SKETCH_STEPS = 128
+SKETCH_ACCURACY = 10_000
 
 
-def _in_groups(items: Sequence, size: int = 20):
-    for start in range(0, len(items), size):
-        yield items[start:start + size]
+@dataclass
+class _Search:
+    """The ranks around one quantile of one column and what is known of them.
 
+    ``below`` counts the values under ``low``; the ranks lie within [low, high].
+    """
 
-def _one_row(df: DataFrame, expressions: dict) -> dict:
-    """Evaluate global aggregates, a bounded number of expressions per job."""
-    values: dict = {}
-    for group in _in_groups(list(expressions.items())):
-        row = df.selectExpr(*[f"{e} as v{i}" for i, (_, e) in enumerate(group)]).first()
-        values.update({key: row[f"v{i}"] for i, (key, _) in enumerate(group)})
-    return values
+    column: str
+    position: int
+    share: float
+    first: int
+    last: int
+    weight: float
+    inside: int
+    low: float | None = None
+    high: float | None = None
+    below: int = 0
+    at_low: int = 0
+    open: int = 0
+    values: tuple[float | None, float | None] = (None, None)
+
+    def known(self, rank: int) -> float | None:
+        """The value at a rank, if it is an end of the bracket."""
+        if rank < self.below + self.at_low:
+            return self.low
+        return self.high if rank >= self.below + self.at_low + self.open else None
+
+    def result(self) -> float:
+        low, high = self.values
+        return low if self.weight == 0 else low + (high - low) * self.weight
 
 
 def exact_quantiles(
-    df: DataFrame,
-    wanted: Mapping[str, Sequence[float]],
-    candidate_rows: int = CANDIDATE_ROWS,
+    df: DataFrame, wanted: Mapping[str, Sequence[float]], candidate_rows: int = CANDIDATES
 ) -> dict[tuple[str, float], float | None]:
     """Linearly interpolated quantiles, as {(column, share): value}.
 
-    Small columns take one exact aggregate. For a large column, sketches bracket
-    the two ranks around the quantile, one counting pass places the bracket, and
-    this repeats inside the bracket until few distinct candidates are left.
+    A sketch of every column brackets the ranks around each quantile, one counting
+    pass places the brackets, and both repeat inside the brackets until few values
+    are left, which are put in order. Each of these steps is one job for all columns
+    and shares together; a round narrows a bracket to about a thirtieth of its rows.
     ``df`` should be cheap to scan repeatedly (stored or cached).
     """
     columns = list(wanted)
     if not columns:
         return {}
-    value = {c: as_double(c) for c in columns}
     found = collected(df, columns, {"n": "count(value)"})
     counts = {c: found[c]["n"] if c in found else 0 for c in columns}
+    searches = []
+    for position, c in enumerate(columns):
+        for share in wanted[c] if counts[c] else []:
+            rank = share * (counts[c] - 1)
+            first, last = math.floor(rank), math.ceil(rank)
+            searches.append(_Search(c, position, share, first, last, rank - first, counts[c]))
+    open_searches = searches
+    while open_searches:
+        _bracket(df, columns, open_searches)
+        _count(df, columns, open_searches)
+        open_searches = [s for s in open_searches if s.open > candidate_rows and None in s.values]
+    _order_rest(df, columns, [s for s in searches if None in s.values])
     result: dict[tuple[str, float], float | None] = {
-        (c, share): None for c in columns if counts[c] == 0 for share in wanted[c]}
-
-    small = [c for c in columns if 0 < counts[c] <= candidate_rows]
-    shares = sorted({share for c in small for share in wanted[c]})
-    exact = f"percentile(value, array({', '.join(literal(float(s)) for s in shares)}))"
-    # Above 128 groups Spark would sort the cells for this aggregate instead of hashing.
-    for group in _in_groups(small, 100):
-        for c, row in collected(df, group, {"q": exact}).items():
-            result.update({(c, s): row["q"][shares.index(s)] for s in wanted[c]})
-
-    items = [
-        {"key": (c, share), "column": c, "rank": share * (counts[c] - 1), "low": None,
-         "high": None, "below": 0, "inside": counts[c], "open": counts[c]}
-        for c in columns if counts[c] > candidate_rows for share in wanted[c]
-    ]
-
-    def candidates(item) -> str:
-        v = value[item["column"]]
-        if item["low"] is None:
-            return v
-        return f"case when {v} between {literal(item['low'])} and {literal(item['high'])} then {v} end"
-
-    while True:
-        wide = [i for i in items if i["open"] > candidate_rows]
-        if not wide:
-            break
-        _narrow(df, wide, candidates, value)
-
-    finals = {}
-    for i in items:
-        if i["low"] is not None and i["low"] == i["high"]:
-            result[i["key"]] = i["low"]
-        else:
-            share = (i["rank"] - i["below"]) / (i["inside"] - 1) if i["inside"] > 1 else 0.0
-            finals[i["key"]] = f"percentile({candidates(i)}, {literal(min(1.0, max(0.0, share)))})"
-    result.update(_one_row(df, finals))
-    return result
-
-
-def _narrow(df: DataFrame, items: list[dict], candidates, value) -> None:
-    """One bracketing round for every item that still has many candidates."""
-    frame = df.selectExpr(*[f"{candidates(i)} as c{n}" for n, i in enumerate(items)])
-    brackets = []
-    for n, item in enumerate(items):
-        spread = max(item["inside"] - 1, 1)
-        low = (math.floor(item["rank"]) - item["below"]) / spread - 2 * SKETCH_ERROR
-        high = (math.ceil(item["rank"]) - item["below"]) / spread + 2 * SKETCH_ERROR
-        brackets.append((max(0.0, low), min(1.0, high)))
-    shares = sorted({s for b in brackets for s in b})
-    found = frame.approxQuantile([f"c{n}" for n in range(len(items))], shares, SKETCH_ERROR)
-    for n, item in enumerate(items):
-        by_share = dict(zip(shares, found[n]))
-        item["new"] = (by_share[brackets[n][0]], by_share[brackets[n][1]])
-
-    expressions = {}
-    for n, item in enumerate(items):
-        v, low, high = value[item["column"]], literal(item["new"][0]), literal(item["new"][1])
-        expressions[(n, "below")] = f"count_if({v} < {low})"
-        expressions[(n, "inside")] = f"count_if({v} between {low} and {high})"
-        expressions[(n, "open")] = f"count_if({v} > {low} and {v} < {high})"
-    counts = _one_row(df, expressions)
-    for n, item in enumerate(items):
-        below, inside = counts[(n, "below")], counts[(n, "inside")]
-        if below > math.floor(item["rank"]) or below + inside <= math.ceil(item["rank"]):
-            raise RuntimeError(f"sketch bracket missed a quantile of {item['column']}")
-        item["low"], item["high"] = item.pop("new")
-        item["below"], item["inside"], item["open"] = below, inside, counts[(n, "open")]
+        (c, share): None for c in columns for share in wanted[c]}
+    return result | {(s.column, s.share): s.result() for s in searches}
+
+
+def _cells_in(df: DataFrame, columns: Sequence[str], brackets: Sequence[tuple[int, float | None, float | None]]) -> DataFrame:
+    """(bracket, value, low, high): the cells of each bracket's column up to its upper end.
+
+    An open end is NaN above, which Spark orders after every number, and -infinity below.
+    """
+    per_column: list[list[str]] = [[] for _ in columns]
+    for number, (position, low, high) in enumerate(brackets):
+        ends = [literal(low) if low is not None else "double('-infinity')", literal(high) if high is not None else "double('NaN')"]
+        per_column[position].append(f"named_struct('bracket', {number}, 'low', {ends[0]}, 'high', {ends[1]})")
+    none = "array<struct<bracket:int,low:double,high:double>>"
+    lists = ", ".join(f"cast(array({', '.join(some)}) as {none})" for some in per_column)
+    cells = ", ".join(as_double(c) for c in columns)
+    long = df.selectExpr(f"posexplode(array({cells})) as (position, value)").where("value is not null")
+    return long.selectExpr("value", f"inline(array({lists})[position])").where("value <= high")
+
+
+def _bracket(df: DataFrame, columns: Sequence[str], searches: Sequence[_Search]) -> None:
+    """Narrower ends for every search, from sketches of what its bracket holds."""
+    brackets = list(dict.fromkeys((s.position, s.low, s.high) for s in searches))
+    grid = ", ".join(literal(k / SKETCH_STEPS) for k in range(SKETCH_STEPS + 1))
+    sketched = _cells_in(df, columns, brackets).where("value >= low").groupBy("bracket").agg(
+        F.expr(f"percentile_approx(value, array({grid}), {SKETCH_ACCURACY})").alias("steps"))
+    steps = {brackets[r["bracket"]]: r["steps"] for r in sketched.collect()}
+    for s in searches:
+        found, spread = steps[(s.position, s.low, s.high)], max(s.inside - 1, 1)
+        low = math.floor((s.first - s.below) / spread * SKETCH_STEPS) - 1
+        high = math.ceil((s.last - s.below) / spread * SKETCH_STEPS) + 1
+        # The ends of the sketch are the least and greatest value, so they are safe ends.
+        s.low, s.high = found[max(low, 0)], found[min(high, SKETCH_STEPS)]
+
+
+def _count(df: DataFrame, columns: Sequence[str], searches: Sequence[_Search]) -> None:
+    """Place the brackets: values below, at the lower end, strictly inside, at the upper end."""
+    brackets = list(dict.fromkeys((s.position, s.low, s.high) for s in searches))
+    counted = _cells_in(df, columns, brackets).groupBy("bracket").agg(
+        F.count_if(F.col("value") < F.col("low")).alias("below"),
+        F.count_if(F.col("value") == F.col("low")).alias("at_low"),
+        F.count_if((F.col("value") > F.col("low")) & (F.col("value") < F.col("high"))).alias("open"),
+        F.count("*").alias("upto"))
+    rows = {brackets[r["bracket"]]: r for r in counted.collect()}
+    for s in searches:
+        row = rows[(s.position, s.low, s.high)]
+        s.below, s.at_low, s.open = row["below"], row["at_low"], row["open"]
+        s.inside = row["upto"] - row["below"]
+        if s.below > s.first or row["upto"] <= s.last:
+            raise RuntimeError(f"sketch bracket missed a quantile of {s.column}")
+        s.values = (s.known(s.first), s.known(s.last))
+
+
+def _order_rest(df: DataFrame, columns: Sequence[str], searches: Sequence[_Search]) -> None:
+    """The values at the ranks that lie strictly inside a bracket of few values."""
+    if not searches:
+        return
+    brackets = [(s.position, s.low, s.high) for s in searches]
+    places = [(r - s.below - s.at_low) for s in searches for r in (s.first, s.last)]
+    inside = _cells_in(df, columns, brackets).where("value > low and value < high")
+    at = f"array({', '.join(map(str, places))})"
+    ordered = inside.groupBy("bracket").agg(F.sort_array(F.collect_list("value")).alias("v")).selectExpr(
+        "bracket", f"get(v, {at}[2 * bracket]) as a", f"get(v, {at}[2 * bracket + 1]) as b")
+    for r in ordered.collect():
+        s = searches[r["bracket"]]
+        s.values = tuple(k if k is not None else v for k, v in zip(s.values, (r["a"], r["b"])))
 
 
 def exact_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -13,13 +14,14 @@ _local_folders: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
 
-    Only a local session may go without it; it then gets a fresh scratch folder.
+    Only a session inside one machine (master ``local[...]``) may go without it; it then
+    gets a fresh scratch folder. Every cluster, a local one included, needs the setting.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     application = context.applicationId
     if application not in _local_folders:
@@ -31,17 +33,37 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write a frame once and read it back.
+class Stored:
+    """A frame written once to the shared folder; ``frame`` reads the copy.
 
     This cuts lineage in a way that survives lost executors, and gives the
     planner the true size of the data, so that later joins against a small
     result are broadcast by Spark's own size threshold and large ones are not.
+    Whoever stores a frame owns the copy: ``drop()`` deletes it when everything
+    built on it has run, as leaving a ``with`` block does.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, df: DataFrame, label: str = "table") -> None:
+        self.spark = df.sparkSession
+        self.path = fresh_path(self.spark, label)
+        df.write.parquet(self.path)
+        self.frame = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        with contextlib.suppress(Exception):  # a folder left behind does no harm
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    def __enter__(self) -> DataFrame:
+        return self.frame
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """A stored copy that lives as long as the folder, for results that are read later."""
+    return Stored(df, label).frame
 
 
 def set_checkpoint_folder(spark: SparkSession) -> None:

@@ -10,7 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ledgerloom.fixed_values import DEFAULT_MAPPING, IMPUTED_DATES, PARTICIPANT_MAPPING_CSV, TEXT_COLUMNS
+from ledgerloom.fixed_values import (
+    DEFAULT_MAPPING, EXTERNAL_COLUMNS, IMPUTED_DATES, PARTICIPANT_MAPPING_CSV, TEXT_COLUMNS,
+)
 from ledgerloom.functions.text import named, quoted
 
 
@@ -75,14 +77,45 @@ def read_applicants(
         if schema is None:
             # Only the header line is read here; types come from the names.
             schema = applicant_schema(spark.read.option("header", True).csv(path).columns)
-        df = spark.read.schema(schema).option("header", True).csv(path)
+        # A file whose header is in another order than the schema fails instead of swapping columns.
+        df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     else:
         raise ValueError(f"unsupported applicant format: {fmt}")
     return null_out_infinities(df)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def rename_raw(df: DataFrame) -> DataFrame:
+    """Raw names become descriptive ones; where a row has both, the descriptive value wins."""
+    meaning = _descriptive_names()
+    raw = [c for c in df.columns if c in meaning and meaning[c] != c]
+    if not raw:
+        return df
+    kinds = dict(df.dtypes)
+
+    def value(name: str) -> str:
+        sources = [quoted(name)] if name in kinds else []
+        sources += [f"cast({quoted(c)} as {kinds[name]})" if sources else quoted(c) for c in raw if meaning[c] == name]
+        return named(f"coalesce({', '.join(sources)})", name)
+
+    renamed = list(dict.fromkeys(meaning[c] for c in raw))
+    others = [c for c in df.columns if c not in raw and c not in renamed]
+    return df.selectExpr(*[quoted(c) for c in others], *[value(n) for n in renamed])
+
+
+def _descriptive_names() -> dict[str, str]:
+    """Raw to descriptive; a meaning that comes again gets the name deduplication gives it."""
+    names: dict[str, str] = {}
+    for raw, meaning in participant_mapping().items():
+        names[raw] = f"{meaning}_dup1" if meaning in names.values() else meaning
+    return names
+
+
 def request_schema() -> T.StructType:
-    """Every field a scoring request may carry; absent ones read as null."""
+    """Every field a scoring request may carry, under descriptive and raw names, and the text of
+    a record that is no JSON; absent fields read as null."""
     names = list(dict.fromkeys(participant_mapping().values()))
     # The second column of that meaning, under the name deduplication gives it.
     names.insert(names.index("total_loans_2") + 1, "total_loans_2_dup1")
@@ -91,12 +124,19 @@ def request_schema() -> T.StructType:
         "total_credit_limit_overall", "total_balance_overall", "total_emi_overall",
         "total_inquiries_overall", "total_loan_amount_overall",
     ]
-    return applicant_schema(names + totals + overall)
+    external = ["pin_code_frequency", *EXTERNAL_COLUMNS]
+    raw = [r for r, meaning in participant_mapping().items() if r != meaning and r not in names]
+    fields = applicant_schema([*names, *totals, *overall, *external, *raw]).fields
+    return T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
 
 
 def read_requests(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """JSON scoring records; unknown keys are dropped."""
-    return spark.read.schema(schema or request_schema()).json(path)
+    """JSON scoring records under descriptive names; unknown keys are dropped.
+
+    A line that is no JSON is a row of nulls with its text in ``_corrupt_record``; the request
+    checks reject it, with the text.
+    """
+    return rename_raw(spark.read.schema(schema or request_schema()).json(path))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:

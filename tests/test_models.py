@@ -180,3 +180,110 @@ def test_boosting_stops_on_validation(spark):
         vectors.where("id % 4 > 0"), "y", {"trees": 40, "depth": 4, "learning_rate": 0.5},
         validation=vectors.where("id % 4 = 0"))
     assert model.getNumTrees < 40
+
+
+def test_totals_of_requests_reach_the_score(spark, income):
+    """Three requests that differ in their totals alone."""
+    scorer, _ = income
+    totals = ("total_credit_limit_overall", "total_balance_overall", "total_emi_overall",
+              "total_inquiries_overall", "total_loan_amount_overall")
+    df = spark.createDataFrame(
+        [(1, 30.0, None), (2, 30.0, 500_000.0), (3, 30.0, 5e8)], "unique_id long, age double, t double"
+    ).select("unique_id", "age", *[F.col("t").alias(c) for c in totals])
+    engineered = _by_key(scorer.preparation.engineered(df, "unique_id"))
+    assert [engineered[k]["total_credit_limit_overall"] for k in (1, 2, 3)] == [0.0, 500_000.0, 5e8]
+    incomes = [r["predicted_annual_income"] for r in _by_key(models.score_income(df, scorer)).values()]
+    assert len(set(incomes)) > 1
+
+
+def test_slots_win_over_a_supplied_total(spark, income):
+    df = spark.createDataFrame([(1, 10.0, 99.0)], "unique_id long, credit_limit_1 double, total_credit_limit_overall double")
+    row = income[0].preparation.engineered(df, "unique_id").first()
+    assert row["total_credit_limit_overall"] == 10.0
+
+
+def test_raw_names_are_scored_like_descriptive_ones(rows, income):
+    from ledgerloom.sources.applicants import participant_mapping
+
+    scorer, _ = income
+    raw = {m: r for r, m in reversed(participant_mapping().items())}
+    some = rows.where("unique_id < 40").drop("total_loans_2_dup1")
+    renamed = some.toDF(*[raw[c] if c != "unique_id" and c in raw else c for c in some.columns])
+    assert "var_0" in renamed.columns
+    assert _by_key(models.score_income(renamed, scorer)) == _by_key(models.score_income(some, scorer))
+
+
+def test_pin_frequency_is_an_input(spark, rows, income):
+    scorer, _ = income
+    assert "pin_code_frequency" in [n for n, _ in scorer.preparation.inputs]
+    df = rows.select("unique_id", "pin code").limit(3).unionByName(
+        spark.createDataFrame([(-1, "nowhere")], "unique_id long, `pin code` string"))
+    found = _by_key(scorer.preparation.engineered(df, "unique_id"))
+    assert found[-1]["pin_code_frequency"] == 0 and all(r["pin_code_frequency"] > 0 for k, r in found.items() if k > 0)
+    supplied = spark.createDataFrame([(1, "nowhere", 7.0)], "unique_id long, `pin code` string, pin_code_frequency double")
+    assert scorer.preparation.engineered(supplied, "unique_id").first()["pin_code_frequency"] == 7.0
+
+
+def test_saving_over_the_folder_a_scorer_came_from(spark, rows, both):
+    path = fresh_path(spark, "saved-twice")
+    models.save_scorer(both[0], path)
+    loaded = models.load_scorer(spark, path)
+    models.save_scorer(loaded, path)
+    again = models.load_scorer(spark, path)
+    assert _by_key(models.score_repayment(rows, again)) == _by_key(models.score_repayment(rows, both[0]))
+
+
+def test_encoding_by_name(rows):
+    """A text column is target-encoded when its name says so."""
+    known = rows.where("target is not null")
+    fitted = models.fit_preparation(known, "unique_id", "target", target_encoded=["device_model", "city"])
+    assert {"device_model", "city"} <= set(fitted.numeric) and "gender" in fitted.categorical
+
+
+def test_tuned_income_is_fitted_with_the_winners(spark, rows):
+    space = {"trees": (2, 4, 2), "depth": (2, 3), "learning_rate": (0.1, 0.3)}
+    scorer, scored, winners = models.fit_tuned_income(rows, "unique_id", trials=2, space=space)
+    assert set(winners) == {"boosted", "boosted_validated", "forest"}
+    assert scorer.income.members["boosted"].getNumTrees == winners["boosted"]["trees"]
+    assert scorer.income.members["forest"].getNumTrees == winners["forest"]["trees"]
+    assert evaluate.regression_metrics(scored, "target", "prediction").first()["r2"] > 0
+    path = fresh_path(spark, "tuned")
+    models.save_scorer(scorer, path)
+    assert _by_key(models.score_income(rows, models.load_scorer(spark, path))) == _by_key(models.score_income(rows, scorer))
+
+
+def test_tuned_repayment_is_the_best_of_the_grid(spark, rows):
+    scorer, test = models.fit_tuned_repayment(
+        rows, "unique_id", grid={"maxDepth": [1, 3]}, folds=2, params={"trees": 3, "depth": 2, "learning_rate": 0.3})
+    scored = train.probability_of_one(scorer.repayment.transform(test))
+    assert evaluate.auc_roc(scored, "repayment_ok", "probability_of_one").first()["auc"] > 0.6
+    assert any(n.endswith("_log") for n in scorer.preparation.numeric)
+    path = fresh_path(spark, "tuned-repayment")
+    models.save_scorer(scorer, path)
+    loaded = models.load_scorer(spark, path)
+    assert loaded.profiled
+    assert _by_key(models.score_repayment(rows, loaded)) == _by_key(models.score_repayment(rows, scorer))
+
+
+def test_boosting_goes_on_from_batch_to_batch(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.range(1200).selectExpr("id", "cast(id % 3 as long) as batch", "rand(5) as a").withColumn("y", F.col("a") * 10)
+    vectors = materialize(VectorAssembler(inputCols=["a"], outputCol="features").transform(df), "batches")
+    scored = train.train_incremental(vectors, "batch", "y", "id", {"trees": 4, "depth": 3, "learning_rate": 0.3})
+    errors = {r["batch"]: r["rmse"] for r in evaluate.batch_metrics(scored, "batch", "y", "prediction").collect()}
+    assert errors[2] < errors[1] < errors[0]
+    assert scored.select("id").distinct().count() == scored.count()
+
+
+def test_grid_and_cross_validation(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.range(300).selectExpr("id", "id % 17 as a", "id % 17 * 2D + id % 3 as y")
+    vectors = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
+    params = {"trees": 3, "depth": 2, "learning_rate": 0.3}
+    search = train.grid_search(vectors, "id", "y", grid={"maxDepth": [1, 4]}, folds=3, params=params)
+    table = train.grid_scores(spark, search).collect()
+    assert {r["params"] for r in table} == {"maxDepth=1", "maxDepth=4"}
+    assert max(table, key=lambda r: r["score"])["params"] == "maxDepth=4"
+    assert train.cross_validate(vectors, "id", "y", params, folds=3) > 0.3

@@ -53,12 +53,17 @@ def test_lookups_work_above_the_broadcast_size(spark, threshold):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
 
 
-def test_many_and_few_categories_encode_alike(spark, monkeypatch):
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_encoding_is_a_join_at_any_size(spark, threshold):
     df = spark.range(3000).selectExpr(
         "id", "if(id % 3 = 0, 'hot', concat('p', id % 50)) as pin", "cast(id % 7 as double) as target")
-    few = encode.TargetEncode(["pin"]).fit(df, "target")
-    monkeypatch.setattr(encode, "FEW_CATEGORIES", 5)
-    many = encode.TargetEncode(["pin"]).fit(df, "target")
-    assert list(few.few) == ["pin"] and not many.few
-    assert "Join" in _plan(many.transform(df)) and "Join" not in _plan(few.transform(df))
-    assert few.transform(df).exceptAll(many.transform(df)).count() == 0
+    fitted = encode.TargetEncode(["pin"]).fit(df, "target")
+    codes = {r["category"]: r["encoded"] for r in fitted.table.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        encoded = fitted.transform(df)
+        assert ("BroadcastHashJoin" in _plan(encoded)) == (threshold == "10MB")
+        expected = {r["id"]: codes[r["pin"]] for r in df.collect()}
+        assert {r["id"]: r["pin"] for r in encoded.collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")

@@ -7,6 +7,8 @@ from tests.twins import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 TWINS = oracle_sql()
+# Fits with the full settings take minutes; test_models covers these operators with small models.
+FITTED = {name for name, build in queries().items() if build.__module__ == "ledgerloom.catalog.model_queries"}
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +16,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(TWINS))
+@pytest.mark.parametrize("name", sorted(set(TWINS) - FITTED))
 def test_twin(spark, con, name):
     problem = compare(spark, con, queries()[name], TWINS[name], SF_DIR)
     # Few rows may leave a filter of a query empty at this size.
