@@ -2,41 +2,15 @@
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.shared import fresh_path
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-class Stored:
-    """A frame written once to the cluster's shared folder.
-
-    `frame` reads the copy, so its plan has no lineage and the planner knows its size.
-    `drop()` deletes the copy: call it when everything built on `frame` has been stored.
-    """
-
-    def __init__(self, df: DataFrame, label: str) -> None:
-        self.spark = df.sparkSession
-        self.path = fresh_path(self.spark, label)
-        df.write.parquet(self.path)
-        self.frame = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        delete_folder(self.spark, self.path)
-
-
-def delete_folder(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # a folder left behind does no harm
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import golomb
-from ledgerloom.llm.common import Stored, ids_and_texts, lower_ascii, shuffle_partitions, texts_of
+from ledgerloom.llm.common import ids_and_texts, lower_ascii, shuffle_partitions, texts_of
+from ledgerloom.plans.shared import Stored
 
 BLOCK_ROWS = 1 << 16
 

@@ -24,7 +24,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Stored, held_out, ids_and_texts, texts_of
+from ledgerloom.llm.common import held_out, ids_and_texts, texts_of
+from ledgerloom.plans.shared import Stored
 
 SAMPLE_ROWS = 20_000
 PAIRS = 20_000

@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Stored, arrow_rows, ids_and_texts, shuffle_partitions, texts_of
-from ledgerloom.plans.shared import fresh_path
+from ledgerloom.llm.common import arrow_rows, ids_and_texts, shuffle_partitions, texts_of
+from ledgerloom.plans.shared import Stored, fresh_path
 
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 23
