@@ -36,7 +36,7 @@ BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 23
 END_ID = 2
 NO_ID = -(2**63)
-CACHED_WORDS = 400_000
+CACHED_WORDS = 900_000
 MAGIC = b"LLTK"
 HEADER = struct.Struct("<4sHHIQQQ")
 
@@ -44,7 +44,7 @@ _BATCH_CHARS = 1 << 20
 _FILE = pa.schema([
     ("part", pa.int64()), ("number", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),
 ])
-_DOC = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("number", pa.int64())])
+_DOC = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def id_bits(vocabulary: int) -> int:
@@ -156,19 +156,39 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode().split() for t in texts]
-        new = list({w for some in words for w in some} - self.known.keys())
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list({w for some in words for w in some})
+    def _learn(self, words: set[bytes]) -> None:
+        """Ids of new words. A tail of ASCII marks is a token group of its own, so a word with one takes
+        the ids of its two parts."""
+        known = self.known
+        parts = {word: (core, word[len(core) :]) for word in words if (core := _core(word)) != word}
+        new = list({p for some in parts.values() for p in some if p not in known} | {w for w in words if w not in parts and w not in known})
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             for word, ids in zip(part, found, strict=True):
-                self.known[word] = struct.pack(f"<{len(ids.ids)}I", *ids.ids)
+                known[word] = struct.pack(f"<{len(ids.ids)}I", *ids.ids)
+        for word, (core, tail) in parts.items():
+            known[word] = known[core] + known[tail]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in some]), "<u4") for some in words]
+        # the vocabulary is lower case; only its special tokens, which begin with "<|", are told apart by case
+        words = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts]
+        found = [list(map(known.get, some)) for some in words]
+        unknown = {w for some, got in zip(words, found, strict=True) if None in got for w, ids in zip(some, got, strict=True) if ids is None}
+        if len(known) + len(unknown) > CACHED_WORDS:
+            known.clear()  # what is already found stays in `found`
+        self._learn(unknown)
+        return [
+            np.frombuffer(b"".join([known[w] if ids is None else ids for w, ids in zip(some, got, strict=True)] if None in got else got), "<u4")
+            for some, got in zip(words, found, strict=True)
+        ]
+
+
+def _core(word: bytes) -> bytes:
+    """A word without the ASCII marks at its end, if an ASCII letter or digit comes before them."""
+    core = word.rstrip(b".,;:!?#&*%$@|()[]{}\"-+=/_")
+    return core if core[-1:].isalnum() and b"<|" not in word else word
 
 
 @functools.cache
@@ -238,7 +258,8 @@ def write_token_files(
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Each task opens the files of its manifest rows and unpacks them block by block.
+    The manifest, which has a row per file, gets the number of ids before each file; then each task opens
+    the files of its rows and unpacks them block by block.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,15 +267,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 yield from arrow_rows(_documents(row), _DOC)
 
-    files = manifest.repartition(max(1, manifest.count()), "path")
-    docs = files.select("part", "number", "path").mapInArrow(
-        read, "doc_id bigint, first bigint, n_tokens bigint, ids_crc32 bigint, part bigint, number bigint"
-    )
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("part", "number", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
-    return docs.join(starts, ["part", "number"]).select(
-        "doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    earlier = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("before"))
+    files = placed.repartition(max(1, manifest.count()), "path")
+    return files.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def _documents(row: dict) -> Iterator[tuple]:
@@ -264,7 +280,7 @@ def _documents(row: dict) -> Iterator[tuple]:
         crc = 0
         for some in file.ids(first, stop):
             crc = zlib.crc32(some.tobytes(), crc)
-        yield None if doc_id == NO_ID else doc_id, first, stop - first, crc, row["part"], row["number"]
+        yield None if doc_id == NO_ID else doc_id, row["before"] + first, stop - first, crc
     file.close()
 
 

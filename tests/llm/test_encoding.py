@@ -161,6 +161,6 @@ def test_token_files_whole_table(spark):
 
 def test_words_apart_are_words_together():
     library, encoder = Tokenizer.from_file(WORD_VOCABULARY), token_files.WordEncoder(WORD_VOCABULARY)
-    texts = [t for t in samples()] + ["don't <|endoftext|> x<|startoftext|>y", "a\x1cb\x85c d e　f", "é ́a", "ÀÉ ǅ İ"]
+    texts = [t for t in samples()] + ["don't <|endoftext|> x<|startoftext|>y", "a\x1cb\x85c d e　f", "é ́a", "ÀÉ ǅ İ", "<|EndOfText|> <|ENDOFTEXT|>", "IT'S x's. É.. é,, 7!? a'!! (b) 'll.", "E\u0301. K\u0301 \u212a\u2026."]
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
