@@ -220,11 +220,16 @@ class Frequency:
     table: DataFrame
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add the count, 0 for a value not seen in training; a count that the row brings along stays."""
+        """Add the count, 0 for a value not seen in training; a count that the row brings along stays.
+
+        An absent column is a missing value, whose count is missing too if training rows had none.
+        """
+        if self.column not in df.columns:
+            df = df.withColumn(self.column, F.lit(None).cast("string"))
         key = F.coalesce(F.col(f"`{self.column}`").cast("string"), F.lit("nan"))
         counts = self.table.select(F.col("value").alias("_value"), F.col("n").alias("_n"))
         joined = df.join(counts, key == F.col("_value"), "left")
-        found = F.coalesce("_n", F.lit(0)).cast("double")
+        found = F.coalesce("_n", F.when(F.col(f"`{self.column}`").isNotNull(), 0)).cast("double")
         if self.name in df.columns:
             found = F.coalesce(F.col(self.name).cast("double"), found)
         return joined.withColumn(self.name, found).drop("_value", "_n")

@@ -46,7 +46,7 @@ class Preparation:
         their own, but stand in for the sum of a family without any slot.
         """
         named = rename_raw(df)
-        if self.frequency is not None and self.frequency.column in named.columns:
+        if self.frequency is not None:
             named = self.frequency.transform(named)
         aside = features.set_aside_totals(named)
         totals = [c for c in aside.columns if c not in named.columns]
