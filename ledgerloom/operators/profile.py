@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ from ledgerloom.plans.order_stats import exact_quantiles
 from ledgerloom.plans.shared import Stored
 
 
+# Tasks that add up the matrices of all others.
+ADDERS = 16
+
 _NULL_SHARE = {"missing_fraction": "avg(cast(value as double))"}
 
 
@@ -139,9 +143,10 @@ def screen_features(df: DataFrame, columns: Sequence[str], target: str = "target
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature_x, feature_y, correlation) for all ordered pairs, null when undefined.
 
-    Sums of products of every pair come from one matrix product per Arrow batch;
-    each task emits one row per pair, which Spark adds up by pair. Values are
-    shifted by the column means first, so the sums stay accurate.
+    Sums of products of every pair come from one matrix product per Arrow batch. A task
+    passes its matrices on as one row of bytes; a few tasks add these up, and only then
+    are there rows per pair. Values are shifted by the column means first, so the sums
+    stay accurate.
     """
     columns = list(columns)
     size = len(columns)
@@ -149,22 +154,33 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     means = collected(df, columns, {"mean": "avg(value)"})
     shift = np.array([(means[c]["mean"] if c in means else None) or 0.0 for c in columns])
 
-    def partial_sums(batches):
+    def task_sums(batches):
         total = np.zeros((4, size, size))
         for batch in batches:
             x = batch.to_numpy(dtype="float64") - shift
             seen = (~np.isnan(x)).astype("float64")
             x = np.nan_to_num(x)
             total += np.stack([seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x])
-        i, j = np.triu_indices(size)
-        yield pd.DataFrame({
-            "i": i, "j": j, "n": total[0][i, j],
-            "sx": total[1][i, j], "sy": total[1].T[i, j],
-            "sxx": total[2][i, j], "syy": total[2].T[i, j], "sxy": total[3][i, j],
-        })
-
-    sums = values.mapInPandas(
-        partial_sums,
+        yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "matrices": [total.tobytes()]})
+
+    def add(rows):
+        return pd.DataFrame({"matrices": [sum(np.frombuffer(m) for m in rows["matrices"]).tobytes()]})
+
+    def pairs_of(batches):
+        for batch in batches:
+            for m in batch["matrices"]:
+                total = np.frombuffer(m).reshape(4, size, size)
+                i, j = np.triu_indices(size)
+                yield pd.DataFrame({
+                    "i": i, "j": j, "n": total[0][i, j],
+                    "sx": total[1][i, j], "sy": total[1].T[i, j],
+                    "sxx": total[2][i, j], "syy": total[2].T[i, j], "sxy": total[3][i, j],
+                })
+
+    parts = values.mapInPandas(task_sums, "task int, matrices binary")
+    added = parts.groupBy(F.col("task") % ADDERS).applyInPandas(add, "matrices binary")
+    sums = added.mapInPandas(
+        pairs_of,
         "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double",
     ).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     covariance = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
