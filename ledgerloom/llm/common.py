@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -36,6 +37,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are stored.
+
+    It does so when the driver collects the plans that are no longer used, which can take long
+    on a driver with little to do.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str | None]:
     """The texts of a batch one by one; the batch as a whole never becomes Python objects."""
     values = batch.column(batch.schema.get_field_index(column))
