@@ -6,8 +6,7 @@ of the text, so fitting is a logistic regression without intercept on feature di
 threshold is the quantile of the training scores above which lies the share of good documents; the
 reported score is the logistic function of the distance to it.
 
-Fitting uses at most SAMPLE_ROWS labelled documents (those with the smallest hash of their id) and
-PAIRS pairs. Scoring covers all documents.
+Fitting uses at most SAMPLE_ROWS labelled documents, chosen by a hash of their id, and PAIRS pairs. Scoring covers all documents.
 """
 
 from __future__ import annotations
@@ -109,7 +108,10 @@ def fit_ranker(
     every score is 0.5.
     """
     spread_out = F.xxhash64(F.col("doc_id").cast("string"), F.lit(7))
-    sample = Stored(labelled.orderBy(spread_out, "doc_id").limit(sample_rows), "labelled-sample").frame
+    # The hash is even over 2**32, so this leaves about sample_rows; only they are put in order.
+    share = min(1.0, sample_rows / max(labelled.count(), 1))
+    some = labelled.filter(F.pmod(spread_out, F.lit(1 << 32)) < int(share * (1 << 32)))
+    sample = Stored(some.orderBy(spread_out, "doc_id").limit(sample_rows), "labelled-sample").frame
     stats = sample.select(F.posexplode("features").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     centre, spread = np.zeros(WIDTH), np.ones(WIDTH)
     for r in stats.collect():
