@@ -186,9 +186,12 @@ class WordEncoder:
 
 
 def _core(word: bytes) -> bytes:
-    """A word without the ASCII marks at its end, if an ASCII letter or digit comes before them."""
+    """A word without the ASCII marks at its end, if a letter or an ASCII digit comes before them."""
     core = word.rstrip(b".,;:!?#&*%$@|()[]{}\"-+=/_")
-    return core if core[-1:].isalnum() and b"<|" not in word else word
+    if core == word or not core or b"<|" in word:
+        return word
+    last = core[-1:]
+    return core if last.isalnum() or last >= b"\x80" and core.decode()[-1].isalpha() else word
 
 
 @functools.cache
