@@ -28,7 +28,7 @@ from ledgerloom.llm.common import arrow_rows, ids_and_texts, texts_of
 SPACE = "▁"
 #: A character without a piece of its own costs this much beyond the lowest score.
 UNKNOWN_COST = 10.0
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 MAX_MODEL_BYTES = 64 << 20
 
 _NEVER = -1e8  # scores below mark pieces that a model keeps for its own use
@@ -63,9 +63,9 @@ class PieceVocabulary:
                 sizes.setdefault(piece[-3:], set()).add(len(piece))
         #: The sizes of the pieces that end in three given characters, the longest first.
         self.sizes_by_end = {end: tuple(sorted(some, reverse=True)) for end, some in sizes.items()}
-        #: No piece goes on past these places, so all paths meet there: before a space mark that
+        #: No piece goes on past these places, so all paths meet there: before a space that
         #: follows another character, and around a line break.
-        self.parts = re.compile(r"\n|▁+[^▁\n]*|[^▁\n]+") if not any(
+        self.parts = re.compile(r"\n| +[^ \n]*|[^ \n]+") if not any(
             "\n" in p or SPACE in p.lstrip(SPACE) for p in self.scores
         ) else re.compile(r"(?s).+")
 
@@ -153,13 +153,16 @@ class PieceCodec:
         self.vocabulary = PieceVocabulary(model)
         self.stream = ViterbiStream(self.vocabulary)
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}  # the parts remembered before `known` was last full
 
     def _part(self, part: str) -> bytes:
-        found = self.stream.feed(part) + self.stream.finish()
-        ids = struct.pack(f"<{len(found)}I", *found)
+        ids = self.earlier.get(part)
+        if ids is None:
+            found = self.stream.feed(part.replace(" ", SPACE)) + self.stream.finish()
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(part) <= 64:
             if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
+                self.earlier, self.known = self.known, {}
             self.known[part] = ids
         return ids
 
@@ -172,8 +175,7 @@ class PieceCodec:
         for k, piece in enumerate(pieces):
             if k:
                 out.append(np.array(self.vocabulary.byte_fallback(SPACE), "<u4").tobytes())
-            known = self.known
-            out += [known.get(p) or self._part(p) for p in self.vocabulary.parts.findall(piece.replace(" ", SPACE))]
+            out += [self.known.get(p) or self._part(p) for p in self.vocabulary.parts.findall(piece)]
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
