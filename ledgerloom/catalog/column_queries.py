@@ -183,7 +183,7 @@ _COMPLETE = {
 
 
 @register("complete_cases", " union all ".join(
-    f"""select '{name}' as needed, count(*) as applicants, sum(unique_id) as ids from app
+    f"""select '{name}' as needed, count(*) as applicants, cast(sum(unique_id) as bigint) as ids from app
     where {' and '.join(f'"{c}" is not null' for c in columns)}""" for name, columns in _COMPLETE.items()))
 def complete_cases(spark, sf_dir):
     df = applicants(spark, sf_dir)

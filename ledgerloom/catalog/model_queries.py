@@ -255,8 +255,8 @@ _TOTALS = {
 
 
 @register("score_aggregated_requests", f"""
-select unique_id, {', '.join(f'{v} * (unique_id % 5 + 1) as {n}' for n, v in _TOTALS.items())},
-  round(20000.0 / (500000.0 + 1e-6 / (unique_id % 5 + 1)), 8) as overall_credit_util_ratio, true as totals_matter from app""")
+select unique_id, {', '.join(f'{v}::double * (unique_id % 5 + 1) as {n}' for n, v in _TOTALS.items())},
+  round(20000.0::double / (500000.0::double + 1e-6 / (unique_id % 5 + 1)), 8) as overall_credit_util_ratio, true as totals_matter from app""")
 def score_aggregated_requests(spark, sf_dir):
     """Requests with totals in place of slots: the totals are kept, and the scores depend on them."""
     scorer = _income(_Session(spark, sf_dir))[0]
