@@ -155,12 +155,27 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.closing: dict[str, bool] = {}
+
+    def _closes(self, last: str) -> bool:
+        """Does a mark after this letter begin a token group? Not if the letter's normal form ends in a combining mark."""
+        if last not in self.closing:
+            normal = self.tokenizer.normalizer.normalize_str(last + "!")
+            self.closing[last] = last.isalpha() and self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)[-1][0] == "!"
+        return self.closing[last]
+
+    def _core(self, word: bytes) -> bytes:
+        """A word without the ASCII marks at its end, if a letter or an ASCII digit comes before them."""
+        core = word.rstrip(b".,;:!?#&*%$@|()[]{}\"-+=/_")
+        if core == word or not core or b"<|" in word:
+            return word
+        return core if core[-1:].isalnum() or core[-1] >= 128 and self._closes(core.decode()[-1]) else word
 
     def _learn(self, words: set[bytes]) -> None:
         """Ids of new words. A tail of ASCII marks is a token group of its own, so a word with one takes
         the ids of its two parts."""
         known = self.known
-        parts = {word: (core, word[len(core) :]) for word in words if (core := _core(word)) != word}
+        parts = {word: (core, word[len(core) :]) for word in words if (core := self._core(word)) != word}
         new = list({p for some in parts.values() for p in some if p not in known} | {w for w in words if w not in parts and w not in known})
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
@@ -172,8 +187,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
-        # the vocabulary is lower case; only its special tokens, which begin with "<|", are told apart by case
-        words = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts]
+        words = [_words(t) for t in texts]
         found = [list(map(known.get, some)) for some in words]
         unknown = {w for some, got in zip(words, found, strict=True) if None in got for w, ids in zip(some, got, strict=True) if ids is None}
         if len(known) + len(unknown) > CACHED_WORDS:
@@ -185,13 +199,19 @@ class WordEncoder:
         ]
 
 
-def _core(word: bytes) -> bytes:
-    """A word without the ASCII marks at its end, if a letter or an ASCII digit comes before them."""
-    core = word.rstrip(b".,;:!?#&*%$@|()[]{}\"-+=/_")
-    if core == word or not core or b"<|" in word:
-        return word
-    last = core[-1:]
-    return core if last.isalnum() or last >= b"\x80" and core.decode()[-1].isalpha() else word
+def _words(text: str) -> list[bytes]:
+    """The words of a text, in lower case where that changes no ids.
+
+    The vocabulary is lower case; only its special tokens, which begin with "<|", are told apart by case.
+    Texts are composed before they are lowered, and some letters compose in lower case only (U+1E97), so
+    where combining marks occur (U+0300 to U+037F begin with the bytes CC and CD), just ASCII words are lowered.
+    """
+    data = text.encode()
+    if "<|" in text:
+        return data.split()
+    if b"\xcc" in data or b"\xcd" in data:
+        return [w.lower() if w.isascii() else w for w in data.split()]
+    return data.lower().split()
 
 
 @functools.cache

@@ -164,3 +164,19 @@ def test_words_apart_are_words_together():
     texts = [t for t in samples()] + ["don't <|endoftext|> x<|startoftext|>y", "a\x1cb\x85c d e　f", "é ́a", "ÀÉ ǅ İ", "<|EndOfText|> <|ENDOFTEXT|>", "IT'S x's. É.. é,, 7!? a'!! (b) 'll.", "E\u0301. K\u0301 \u212a\u2026."]
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("word", [
+    "\u092a\u0939\u093e\u095c,", "B\u0130LD\u0130R\u0130!", "\ufb2a,", "\u05d0\ufb4b.", "T\u0308a", "H\u0331.", "W\u030a J\u030c,", "T\u05ae\u0344",
+])
+def test_letters_that_end_in_a_combining_mark(word):
+    library, encoder = Tokenizer.from_file(WORD_VOCABULARY), token_files.WordEncoder(WORD_VOCABULARY)
+    for text in (word, f"Plain WORDS, {word} x"):
+        assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_marks_after_every_letter():
+    library, encoder = Tokenizer.from_file(WORD_VOCABULARY), token_files.WordEncoder(WORD_VOCABULARY)
+    texts = ["a" + chr(c) + ",!" for c in range(128, 0x30000) if chr(c).isalpha() and not 0x4E01 <= c < 0xABFF and c < 0x20000]
+    whole = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(a.tolist() == b.ids for a, b in zip(encoder.encode(texts), whole, strict=True))
