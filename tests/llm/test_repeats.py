@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from corpus_pipeline import documents
+from ledgerloom.llm import suffix_dedup
 from ledgerloom.llm.suffix_dedup import anchor_runs, remove_repeats, smallest_ids
 from ledgerloom.llm.suffix_groups import suffix_array
 from ledgerloom.llm.unit_dedup import drop_repeated_units, repeated_units, unit_spans
@@ -96,6 +97,31 @@ def test_repeats_whole_table(spark):
     assert sortable([tuple(r) for r in found]) == sortable(removed_by_hand(rows))
 
 
+def test_equal_windows_are_combined_before_the_shuffle(spark, capsys):
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdef ") for _ in range(70))
+    texts = [("".join(rng.choice("ghi") for _ in range(40)) + shared + "".join(rng.choice("jkl") for _ in range(40))).encode() for _ in range(60)]
+    rows = [(1, k, k + 1, k + 1 + k % 3, bytearray(t)) for k, t in enumerate(texts)]
+    segments = spark.createDataFrame(rows + rows[:5], "anchor long, content long, low long, high long, segment binary")
+    best = {}
+    for _, _, low, _, t in rows:
+        for k in range(len(t) - 49):
+            best[bytes(t[k : k + 50])] = min(best.get(bytes(t[k : k + 50]), low), low)
+    expected = {(c, k): best[bytes(t[k : k + 50])] for _, c, _, high, t in rows for k in range(len(t) - 49) if best[bytes(t[k : k + 50])] < high}
+    found = suffix_dedup._single_windows(segments, 50)
+    runs = found.collect()
+    assert {(r.content, k): r.smallest for r in runs for k in range(r.begin, r.stop)} == expected
+    assert sum(r.stop - r.begin for r in runs) == len(expected)
+    found.explain("simple")
+    assert "partial_min(low" in capsys.readouterr().out
+
+
+def test_repeats_reach_the_windows_of_hot_anchors(spark):
+    docs = documents(spark, SF_DIR)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
+    assert sortable([tuple(r) for r in remove_repeats(docs, hot_segments=3).collect()]) == sortable(removed_by_hand(rows))
+
+
 def test_length_must_exceed_an_anchor(spark):
     with pytest.raises(ValueError):
         remove_repeats(edge_cases.frame(spark), length=20)
