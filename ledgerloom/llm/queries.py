@@ -33,7 +33,7 @@ def op2_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = unit_dedup.repeated_units(documents(spark, sf_dir))
+    found = unit_dedup.repeated_units(documents(spark, sf_dir), min_words=1)
     written = F.transform("spans", lambda s: F.concat_ws(":", s["begin"].cast("string"), s["stop"].cast("string")))
     return found.select("doc_id", "n_units", "n_removed", "removed_chars", F.array_join(written, ",").alias("spans"))
 

@@ -3,7 +3,8 @@
 Units are normalised (A-Z to a-z, runs of ASCII white space to one space, none at the ends) and
 hashed to 128 bits. All units of the corpus are grouped by hash; of each group the earliest unit,
 by document id and then position, stays, and the others are removed. Units of fewer than
-`min_words` words are left alone. Offsets count code points of the original text.
+`min_words` words are left alone; with 1, as the registered query has it, only empty ones are, in
+every script. Offsets count code points of the original text.
 
 Grouping combines equal hashes before the shuffle, and the join that brings the earliest unit back
 is one that adaptive execution splits, so a line in a third of all documents is no single task.

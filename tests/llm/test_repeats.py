@@ -8,6 +8,7 @@ import pytest
 
 from corpus_pipeline import documents
 from ledgerloom.llm import suffix_dedup
+from ledgerloom.llm.queries import op3_line_dedup
 from ledgerloom.llm.suffix_dedup import anchor_runs, remove_repeats, smallest_ids
 from ledgerloom.llm.suffix_groups import suffix_array
 from ledgerloom.llm.unit_dedup import drop_repeated_units, repeated_units, unit_spans
@@ -167,3 +168,14 @@ def test_lines_edge_cases(spark):
     assert len(twins) == 2 and len(set(twins)) == 1
     assert sum(r.n_removed for r in found if r.doc_id == 12) == 301
     assert repeated_units(docs.limit(0)).count() == 0
+
+
+def test_the_line_query_takes_short_lines_of_every_script(spark, tmp_path):
+    texts = {
+        1: "all rights reserved.\n\n我们都是人\nonly here", 2: "All  rights reserved.\n \n我们都是人", 3: "x\n\nสวัสดี\nx",
+        4: "สวัสดี",
+    }
+    edge_cases.frame(spark, [(i, t, "en", "s", 0) for i, t in texts.items()]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: r.spans for i, r in found.items()} == {1: "", 2: "0:21,24:29", 3: "10:11", 4: "0:6"}
+    assert {i: r.n_removed for i, r in found.items()} == {1: 0, 2: 2, 3: 1, 4: 1}
