@@ -6,7 +6,8 @@ of the text, so fitting is a logistic regression without intercept on feature di
 threshold is the quantile of the training scores above which lies the share of good documents; the
 reported score is the logistic function of the distance to it.
 
-Fitting uses at most SAMPLE_ROWS labelled documents, chosen by a hash of their id, and PAIRS pairs. Scoring covers all documents.
+Pairs are PAIRS of at most SAMPLE_ROWS documents of each label, chosen by a hash of their id. Centre and spread of
+the features, the share of bad documents and the threshold come from all labelled documents. Scoring covers all documents.
 """
 
 from __future__ import annotations
@@ -14,16 +15,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import held_out, ids_and_texts, texts_of
+from ledgerloom.plans.order_stats import exact_quantiles
 from ledgerloom.plans.shared import Stored
 
 SAMPLE_ROWS = 20_000
@@ -94,9 +97,15 @@ class PairwiseRanker:
     weights: np.ndarray
     threshold: float
 
+    def margins(self, features: np.ndarray) -> np.ndarray:
+        return ((features - self.centre) / self.spread) @ self.weights - self.threshold
+
     def scores(self, features: np.ndarray) -> np.ndarray:
-        margin = ((features - self.centre) / self.spread) @ self.weights - self.threshold
-        return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.margins(features), -500, 500)))
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
 
 
 def fit_ranker(
@@ -107,21 +116,30 @@ def fit_ranker(
     If one of the labels is absent there is no preference to learn from: all weights are zero and
     every score is 0.5.
     """
+    stored = Stored(labelled, "labelled")
+    rows = stored.frame
+    totals = dict(rows.groupBy("label").count().collect())
+    if not totals.get(0) or not totals.get(1):
+        stored.drop()
+        return PairwiseRanker(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0)
+    stats = rows.select(Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("features")).alias("s")).first()["s"]
+    centre = stats["mean"].toArray()
+    spread = np.sqrt(stats["variance"].toArray() * (stats["count"] - 1) / stats["count"])
+    spread[spread <= 1e-9] = 1.0
     spread_out = F.xxhash64(F.col("doc_id").cast("string"), F.lit(7))
-    # The hash is even over 2**32, so this leaves about sample_rows; only they are put in order.
-    share = min(1.0, sample_rows / max(labelled.count(), 1))
-    some = labelled.filter(F.pmod(spread_out, F.lit(1 << 32)) < int(share * (1 << 32)))
-    sample = Stored(some.orderBy(spread_out, "doc_id").limit(sample_rows), "labelled-sample").frame
-    stats = sample.select(F.posexplode("features").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    centre, spread = np.zeros(WIDTH), np.ones(WIDTH)
-    for r in stats.collect():
-        centre[r["k"]], spread[r["k"]] = r["m"], r["s"] if r["s"] > 1e-9 else 1.0
-    good, bad = (sample.filter(F.col("label") == k).count() for k in (1, 0))
-    if not good or not bad:
-        return PairwiseRanker(centre, spread, np.zeros(WIDTH), 0.0)
-    numbered = sample.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(spread_out, "doc_id")) - 1)
+    # The hash is even over 2**32, so this leaves about sample_rows of a label; only they are put in order.
+    chosen = [
+        (F.col("label") == k) & (F.pmod(spread_out, F.lit(1 << 32)) < int(min(1.0, sample_rows / totals[k]) * (1 << 32))) for k in (0, 1)
+    ]
     scaled = F.transform("features", lambda v, k: (v - F.element_at(F.lit(centre.tolist()), k + 1)) / F.element_at(F.lit(spread.tolist()), k + 1))
-    numbered = numbered.select("n", "label", scaled.alias("x"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(spread_out, "doc_id"))
+    sample = Stored(
+        rows.filter(chosen[0] | chosen[1]).withColumn("place", place).filter(F.col("place") <= sample_rows)
+        .select((F.col("place") - 1).alias("n"), "label", scaled.alias("x")),
+        "labelled-sample",
+    )
+    numbered = sample.frame
+    good, bad = (numbered.filter(F.col("label") == k).count() for k in (1, 0))
     drawn = labelled.sparkSession.range(pairs).select(
         F.col("id").alias("pair"), (F.col("id") % good).alias("g"),
         F.pmod(F.xxhash64("id"), F.lit(bad)).cast("int").alias("b"),
@@ -135,12 +153,18 @@ def fit_ranker(
     model = LogisticRegression(fitIntercept=False, standardization=False, regParam=regularisation, maxIter=60).fit(train.frame)
     train.drop()
     weights = model.coefficients.toArray()
-    weighted = F.aggregate(
-        F.zip_with("x", F.lit(weights.tolist()), lambda a, w: a * w), F.lit(0.0).cast("double"), lambda t, v: t + v
-    )
-    share_bad = bad / (good + bad)
-    threshold = numbered.select(weighted.alias("s")).agg(F.percentile("s", F.lit(share_bad)).alias("t")).first()["t"]
-    return PairwiseRanker(centre, spread, weights, float(threshold))
+    sample.drop()
+    ranker = PairwiseRanker(centre, spread, weights, 0.0)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(ranker.margins(_matrix(batch)))], names=["margin"])
+
+    share_bad = totals[0] / (totals[0] + totals[1])
+    with Stored(rows.select("doc_id", "features").mapInArrow(margins, "margin double"), "margins") as scored:
+        threshold = exact_quantiles(scored, {"margin": [share_bad]})["margin", share_bad]
+    stored.drop()
+    return replace(ranker, threshold=float(threshold))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -159,8 +183,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matrix = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
-            yield pa.record_batch([batch.column(0), pa.array(shared.value.scores(matrix))], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(shared.value.scores(_matrix(batch)))], names=["doc_id", "score"])
 
     scored = features.mapInArrow(score, "doc_id bigint, score double")
     return scored.select(

@@ -108,6 +108,19 @@ def test_held_out_labels_are_never_learned(spark):
     assert max(abs(a[i] - b[i]) for i in a) < 1e-6
 
 
+def test_rare_labels_are_learned_from_all_rows(spark):
+    rng = np.random.default_rng(5)
+    labels = np.array([0] * 12 + [1] * 3988)
+    features = rng.normal(0, 1, (4000, quality.WIDTH)).astype(np.float32)
+    features[:, 0] += np.where(labels == 1, 2, -2)
+    rows = [(i, f.tolist(), int(k)) for i, (f, k) in enumerate(zip(features, labels, strict=True))]
+    ranker = quality.fit_ranker(spark.createDataFrame(rows, "doc_id long, features array<float>, label int"), sample_rows=100, pairs=500)
+    assert ranker.weights[0] > 0.1
+    assert np.allclose(ranker.centre, features.mean(axis=0), atol=1e-5) and np.allclose(ranker.spread, features.std(axis=0), atol=1e-4)
+    margins = ((features - ranker.centre) / ranker.spread) @ ranker.weights
+    assert np.isclose(ranker.threshold, np.quantile(margins, 12 / 4000), atol=1e-6)
+
+
 def test_quality_edge_cases(spark):
     docs = edge_cases.frame(spark)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 20)] + [(3, 0, 0), (None, 1, 0), (5, None, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
