@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import arrow_rows, ids_and_texts, texts_of
 from ledgerloom.plans.shared import Stored
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+")}
 
 _ROW = pa.schema([

@@ -128,13 +128,13 @@ def test_length_must_exceed_an_anchor(spark):
         remove_repeats(edge_cases.frame(spark), length=20)
 
 
-def lines_by_hand(rows, unit):
+def lines_by_hand(rows, unit, min_words):
     seen, result = set(), {}
     for doc_id, text in rows:
         lost = []
         for begin, stop in unit_spans(text, unit):
             words = text[begin:stop].encode().lower().split()
-            if len(words) >= 5:
+            if len(words) >= min_words:
                 normal = b" ".join(words)
                 if normal in seen:
                     lost.append((begin, stop))
@@ -144,19 +144,20 @@ def lines_by_hand(rows, unit):
 
 
 @pytest.mark.parametrize("unit", ["line", "paragraph"])
-def test_lines(spark, unit):
+@pytest.mark.parametrize("min_words", [1, 5])
+def test_lines(spark, unit, min_words):
     data = [(i, t, "en", "s", 0) for i, t in [
         (1, "one two three four five\nx\none  TWO three four five\n\nlast line of this document here"),
         (2, "  One two three four five \n\nx\nlast line of this document here"), (3, None), (4, ""), (5, "\n\n\n"),
         (6, "last line of this document here"), (9, "short line\nshort line"), (10, "é two three four five\nÉ two three four five"),
     ]]
     docs = edge_cases.frame(spark, data)
-    expected = lines_by_hand([(i, t or "") for i, t, *_ in data], unit)
-    found = {r.doc_id: r for r in repeated_units(docs, unit=unit).collect()}
+    expected = lines_by_hand([(i, t or "") for i, t, *_ in data], unit, min_words)
+    found = {r.doc_id: r for r in repeated_units(docs, unit=unit, min_words=min_words).collect()}
     assert {i: [(s.begin, s.stop) for s in r.spans] for i, r in found.items()} == expected
     assert all(r.n_removed == len(r.spans) and r.removed_chars == sum(s.stop - s.begin for s in r.spans) for r in found.values())
     texts = {i: t or "" for i, t, *_ in data}
-    for r in drop_repeated_units(docs, unit=unit).collect():
+    for r in drop_repeated_units(docs, unit=unit, min_words=min_words).collect():
         assert r.text == "".join(texts[r.doc_id][p.begin : p.stop] for p in r.kept)
 
 
