@@ -320,11 +320,11 @@ FOREST_FEATURE_SHARE = 0.8
 # over rows of 0.1, has no counterpart here: a gain per row that small never stops a split.
 BOOSTED_FEATURE_SHARE = 0.8
 TUNING_GRID = {
-    "maxDepth": [3, 5, 7],
-    "stepSize": [0.01, 0.05, 0.1],
-    "maxIter": [100, 200],
-    "minInstancesPerNode": [1, 3, 5],
-    "subsamplingRate": [0.8, 0.9, 1.0],
+    "depth": [3, 5, 7],
+    "learning_rate": [0.01, 0.05, 0.1],
+    "trees": [100, 200],
+    "min_child": [1, 3, 5],
+    "subsample": [0.8, 0.9, 1.0],
 }
 RANDOM_SEARCH_SPACE = {
     "trees": (100, 500, 100),

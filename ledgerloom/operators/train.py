@@ -7,18 +7,14 @@ and work on histograms added up across executors. ``params`` use the names of
 
 from __future__ import annotations
 
-import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
@@ -124,93 +120,6 @@ def fit_two_targets(
     )
 
 
-def _folds(df: DataFrame, key: str, folds: int) -> DataFrame:
-    """Fold numbers from the key, the same for any partitioning."""
-    return df.withColumn("fold", hash_fraction_bucket(F.col(f"`{key}`"), folds, fv.SPLIT_SEED))
-
-
-def grid_search(
-    train: DataFrame, key: str, label: str, task: str = "regression",
-    grid: Mapping[str, Sequence] | None = None, folds: int = 5, parallelism: int = 4,
-    features: str = "features", params: Mapping | None = None,
-) -> CrossValidatorModel:
-    """Cross-validated grid over MLlib parameter names; r2 or f1 decides."""
-    set_checkpoint_folder(train.sparkSession)
-    settings = _gbt_settings(params, fv.RIGOROUS_TREES)
-    if task == "regression":
-        estimator = GBTRegressor(featuresCol=features, labelCol=label, **settings)
-        evaluator = RegressionEvaluator(labelCol=label, metricName="r2")
-        typed = train
-    else:
-        estimator = GBTClassifier(featuresCol=features, labelCol=label, **settings)
-        evaluator = MulticlassClassificationEvaluator(
-            labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
-        typed = train.withColumn(label, F.col(label).cast("double"))
-    builder = ParamGridBuilder()
-    for name, values in (fv.TUNING_GRID if grid is None else grid).items():
-        builder = builder.addGrid(estimator.getParam(name), list(values))
-    # Each fold's training part is cached by the validator itself.
-    return CrossValidator(
-        estimator=estimator, estimatorParamMaps=builder.build(), evaluator=evaluator,
-        numFolds=folds, foldCol="fold", parallelism=parallelism).fit(_folds(typed, key, folds))
-
-
-def grid_scores(spark: SparkSession, search: CrossValidatorModel) -> DataFrame:
-    """(params, score) of every grid point, one row each."""
-    points = search.getEstimatorParamMaps()
-    rows = [
-        (", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda i: i[0].name)), float(s))
-        for m, s in zip(points, search.avgMetrics)
-    ]
-    return spark.createDataFrame(rows, "params string, score double")
-
-
-def cross_validate(
-    df: DataFrame, key: str, label: str, params: Mapping | None = None, folds: int = 5,
-    features: str = "features",
-) -> float:
-    """Mean R2 over the folds."""
-    search = grid_search(df, key, label, grid={}, folds=folds, features=features, params=params)
-    return float(search.avgMetrics[0])
-
-
-def random_search(
-    train: DataFrame, validation: DataFrame, label: str, family: str = "boosted",
-    trials: int = fv.RANDOM_SEARCH_TRIALS, space: Mapping[str, tuple] | None = None,
-    seed: int = fv.SPLIT_SEED, parallelism: int = 4, features: str = "features",
-) -> list[tuple[dict, float]]:
-    """(params, validation RMSE) of seeded random draws, best first.
-
-    Draws are submitted from driver threads, as MLlib's own validators do.
-    """
-    space = {**fv.RANDOM_SEARCH_SPACE, **(space or {})}
-    draw = random.Random(seed)
-    points = []
-    for _ in range(trials):
-        point = {
-            "trees": draw.randrange(space["trees"][0], space["trees"][1] + 1, space["trees"][2]),
-            "depth": draw.randint(*space["depth"]),
-        }
-        if family != "forest":
-            point["learning_rate"] = draw.uniform(*space["learning_rate"])
-        points.append(point)
-    evaluator = RegressionEvaluator(labelCol=label, metricName="rmse")
-
-    def score(point: dict) -> tuple[dict, float]:
-        if family == "forest":
-            model = fit_forest_regressor(
-                train, label, {**point, "feature_share": fv.FOREST_FEATURE_SHARE}, features)
-        elif family == "boosted_validated":
-            model = fit_boosted_regressor(train, label, point, features, validation)
-        else:
-            model = fit_boosted_regressor(train, label, point, features)
-        return point, evaluator.evaluate(model.transform(validation))
-
-    with ThreadPool(min(parallelism, trials)) as pool:
-        scored = pool.map(score, points)
-    return sorted(scored, key=lambda item: item[1])
-
-
 @dataclass(frozen=True)
 class Boosted:
     """Boosted models that continue one another: their predictions add up."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
-from ledgerloom.operators import encode, features, impute, score, train
+from ledgerloom.operators import encode, features, impute, score, train, tuning
 from ledgerloom.operators.columns import align_to_features, numeric_columns, text_columns
 from ledgerloom.sources.applicants import rename_raw
 from ledgerloom.operators.evaluate import feature_importance
@@ -259,7 +259,7 @@ def fit_tuned_income(
     training, validation = ready.where(side == "train"), ready.where(side == "val")
     winners, members = {}, {}
     for family in fv.VOTING_WEIGHTS:
-        best = train.random_search(training, validation, target, family, trials, space)[0][0]
+        best = tuning.random_search(training, validation, key, target, family, trials, space)[0][0]
         winners[family] = best
         if family == "forest":
             members[family] = train.fit_forest_regressor(
@@ -290,8 +290,9 @@ def fit_tuned_repayment(
     shaped = profiled(rest, target, columns=[*columns, *keep])
     preparation = fit_preparation(shaped, key, target, [*drop, "repayment_ok"])
     ready = materialize(preparation.transform(shaped, key, keep), "tuning-vectors")
-    search = train.grid_search(ready, key, "repayment_ok", "classification", grid, folds, params=params)
-    scorer = Scorer(key, preparation, repayment=search.bestModel, profiled=True)
+    search = tuning.grid_search(ready, key, "repayment_ok", "classification", grid, folds, params=params)
+    model = train.fit_boosted_classifier(ready, "repayment_ok", {**(params or {}), **search.best})
+    scorer = Scorer(key, preparation, repayment=model, profiled=True)
     return scorer, scorer.vectors(test_rows, keep)
 
 

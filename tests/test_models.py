@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog.applicants import applicants
-from ledgerloom.operators import encode, evaluate, train
+from ledgerloom.operators import encode, evaluate, train, tuning
 from ledgerloom.plans import applicant_models as models
 from ledgerloom.plans.shared import fresh_path, materialize
 from ledgerloom.streaming.score_stream import read_scored, score_stream, stage_requests
@@ -165,8 +165,8 @@ def test_random_search_is_sorted_and_repeatable(spark):
     df = spark.range(300).selectExpr("id", "id % 17 as a", "id % 17 * 2D + id % 3 as y")
     vectors = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
     space = {"trees": (2, 6, 2), "depth": (1, 3)}
-    runs = [train.random_search(vectors.where("id % 5 > 0"), vectors.where("id % 5 = 0"), "y",
-                                trials=3, space=space) for _ in range(2)]
+    runs = [tuning.random_search(vectors.where("id % 5 > 0"), vectors.where("id % 5 = 0"), "id", "y",
+                                 trials=3, space=space) for _ in range(2)]
     assert [r for _, r in runs[0]] == sorted(r for _, r in runs[0])
     assert [p for p, _ in runs[0]] == [p for p, _ in runs[1]]
 
@@ -254,7 +254,7 @@ def test_tuned_income_is_fitted_with_the_winners(spark, rows):
 
 def test_tuned_repayment_is_the_best_of_the_grid(spark, rows):
     scorer, test = models.fit_tuned_repayment(
-        rows, "unique_id", grid={"maxDepth": [1, 3]}, folds=2, params={"trees": 3, "depth": 2, "learning_rate": 0.3})
+        rows, "unique_id", grid={"depth": [1, 3]}, folds=2, params={"trees": 3, "depth": 2, "learning_rate": 0.3})
     scored = train.probability_of_one(scorer.repayment.transform(test))
     assert evaluate.auc_roc(scored, "repayment_ok", "probability_of_one").first()["auc"] > 0.6
     assert any(n.endswith("_log") for n in scorer.preparation.numeric)
@@ -282,8 +282,24 @@ def test_grid_and_cross_validation(spark):
     df = spark.range(300).selectExpr("id", "id % 17 as a", "id % 17 * 2D + id % 3 as y")
     vectors = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
     params = {"trees": 3, "depth": 2, "learning_rate": 0.3}
-    search = train.grid_search(vectors, "id", "y", grid={"maxDepth": [1, 4]}, folds=3, params=params)
-    table = train.grid_scores(spark, search).collect()
-    assert {r["params"] for r in table} == {"maxDepth=1", "maxDepth=4"}
-    assert max(table, key=lambda r: r["score"])["params"] == "maxDepth=4"
-    assert train.cross_validate(vectors, "id", "y", params, folds=3) > 0.3
+    search = tuning.grid_search(vectors, "id", "y", grid={"depth": [1, 4], "trees": [2, 3]}, folds=3, params=params)
+    table = search.table(spark).collect()
+    assert {(r.depth, r.trees) for r in table} == {(1, 2), (1, 3), (4, 2), (4, 3)}
+    assert search.best == {"depth": 4, "trees": 3} and len(table[0].fold_scores) == 3
+    alone = tuning.cross_validate(vectors, "id", "y", {**params, "trees": 3, "depth": 4}, folds=3)
+    assert alone == pytest.approx(search.fold_scores[0]) and min(alone) > 0.3
+
+
+def test_halving_keeps_the_best_trials(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.range(400).selectExpr("id", "id % 17 as a", "id % 5 as b", "id % 17 * 2D + id % 5 as y")
+    vectors = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    sides = vectors.where("id % 4 > 0"), vectors.where("id % 4 = 0")
+    space = {"trees": (6, 12, 2), "depth": (1, 4), "learning_rate": (0.02, 0.5)}
+    full = tuning.random_search(*sides, "id", "y", trials=8, space=space)
+    halved = tuning.random_search(*sides, "id", "y", trials=8, space=space, rungs=(0.25, 0.5))
+    assert len(full) == 8 and len(halved) == 2
+    assert halved[0][0] == full[0][0] and halved[0][1] == pytest.approx(full[0][1])
+    stopped = tuning.random_search(*sides, "id", "y", "boosted_validated", trials=3, space=space)
+    assert all(p["trees"] <= 12 for p, _ in stopped) and stopped[0][1] <= stopped[-1][1]
