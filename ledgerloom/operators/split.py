@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.scalars import hash_fraction_bucket, hash_number
-from ledgerloom.plans.order_stats import exact_quantiles
 from ledgerloom.plans.numbering import number_rows
 from ledgerloom.plans.shared import Stored
 
@@ -39,36 +38,51 @@ def split_train_val_test(
     return df.where(side == "train"), df.where(side == "val"), df.where(side == "test")
 
 
+#: Bits of a key's hash, and how many of them a round of the search settles.
+_HASH_BITS, _ROUND_BITS = 40, 20
+
+
+def class_cuts(hashed: DataFrame, label: str, fraction: float) -> DataFrame:
+    """(label, cut): per class the hash at the rank of its share, found without ordering a class.
+
+    Each round counts the rows of a class by the next bits of the hash, below the bits already known, and
+    keeps those where the rank lies. Classes are data: there may be any number of them, and
+    each brings at most 2**20 counts to a window.
+    """
+    rows = Stored(hashed.select(F.col(label).alias("class"), F.col("_hash")).dropna(), "strata")
+    wanted = rows.frame.groupBy("class").agg(F.floor(F.lit(fraction) * F.count("*") + 0.5).alias("rank")).where("rank > 0")
+    state = Stored(wanted.withColumn("prefix", F.lit(0).cast("long")), "ranks")
+    known = 0
+    while known < _HASH_BITS:
+        known += _ROUND_BITS
+        inside = rows.frame.join(state.frame, "class").where(
+            F.shiftright("_hash", _HASH_BITS - known + _ROUND_BITS) == F.col("prefix"))
+        counts = inside.groupBy("class", F.shiftright("_hash", _HASH_BITS - known).alias("bits")).agg(
+            F.count("*").alias("n"), F.first("rank").alias("rank"))
+        upto = Window.partitionBy("class").orderBy("bits").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counts.withColumn("through", F.sum("n").over(upto))
+        found = placed.where("through >= rank and through - n < rank").select(
+            "class", (F.col("rank") - F.col("through") + F.col("n")).alias("rank"), F.col("bits").alias("prefix"))
+        newer = Stored(found, "ranks")
+        state.drop()
+        state = newer
+    rows.drop()
+    return state.frame.select(F.col("class").alias(label), F.col("prefix").alias("cut"))
+
+
 def stratified_flag(
     df: DataFrame, key: str, label: str, fraction: float = 0.2, seed: int = fv.SPLIT_SEED
 ) -> DataFrame:
     """Add ``is_test``: in each class the share with the lowest key hashes.
 
-    The cut of a class is the hash at its rank, found without sorting the class,
-    so a class may hold any part of the rows. ``label`` must have few values. Rows
+    A class may hold any part of the rows, and there may be any number of classes. Rows
     without a label or key are not test rows.
     """
-    # 40 bits: exact as a double even after interpolation between neighbours.
-    hashed = df.withColumn("_hash", hash_number(F.col(f"`{key}`"), seed, digits=10).cast("double"))
-    strata = Stored(hashed.select(label, "_hash").dropna(), "strata")
-    stored = strata.frame
-    sizes = {r[label]: r["n"] for r in stored.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    classes = list(sizes)
-    per_class = stored.select(*[
-        F.when(F.col(label) == c, F.col("_hash")).alias(f"h{i}") for i, c in enumerate(classes)])
-    is_test = F.lit(False)
-    takes = {i: int(fraction * sizes[c] + 0.5) for i, c in enumerate(classes)}
-    shares = {
-        f"h{i}": [(take - 1) / (sizes[classes[i]] - 1) if sizes[classes[i]] > 1 else 0.0]
-        for i, take in takes.items() if take > 0
-    }
-    cuts = exact_quantiles(per_class, shares)
-    strata.drop()
-    for i, c in enumerate(classes):
-        if takes[i] > 0:
-            cut = round(cuts[(f"h{i}", shares[f"h{i}"][0])])
-            is_test = is_test | ((F.col(label) == c) & (F.col("_hash") <= F.lit(float(cut))))
-    return hashed.withColumn("is_test", F.coalesce(is_test, F.lit(False))).drop("_hash")
+    hashed = df.withColumn("_hash", hash_number(F.col(f"`{key}`"), seed, digits=_HASH_BITS // 4))
+    cuts = class_cuts(hashed, label, fraction).select(F.col(label).alias("_class"), F.col("cut").alias("_cut"))
+    joined = hashed.join(cuts, F.col(label) == F.col("_class"), "left")
+    is_test = F.coalesce(F.col("_hash") <= F.col("_cut"), F.lit(False))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], is_test.alias("is_test"))
 
 
 def split_stratified(

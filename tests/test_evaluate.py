@@ -32,6 +32,21 @@ def test_auc_counts_ties_half(spark, digits):
     assert evaluate.auc_roc(df, "y", "s").first()["auc"] == pytest.approx(_brute_auc(pairs))
 
 
+def test_auc_exchanges_rows_once(spark, monkeypatch):
+    """Only the counts of ranges are exchanged besides the rows between cuts, whatever the number of ranges."""
+    draw = random.Random(4)
+    pairs = [(int(draw.random() < 0.4), draw.choice([draw.random(), 0.25, float("nan")])) for _ in range(900)]
+    df = spark.createDataFrame(pairs, "y int, s double").repartition(3)
+    known = [(y, 2.0 if s != s else s) for y, s in pairs]  # NaN is the greatest score
+    plans = []
+    stored = evaluate.Stored
+    monkeypatch.setattr(evaluate, "Stored", lambda df, label: plans.append((label, df)) or stored(df, label))
+    for ranges in (1, 7, 64):
+        assert evaluate.auc_roc(df, "y", "s", ranges).first()["auc"] == pytest.approx(_brute_auc(known))
+    plan = dict(plans)["score-ranges"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and plan.count("Exchange") - plan.count("ENSURE_REQUIREMENTS") <= 2
+
+
 def test_auc_of_one_class_is_undefined(spark):
     df = spark.createDataFrame([(1, 0.3), (1, 0.4)], "y int, s double")
     assert evaluate.auc_roc(df, "y", "s").first()["auc"] is None

@@ -2,9 +2,11 @@
 
 import math
 import random
+from hashlib import md5
 
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import encode, profile, split
 
@@ -146,6 +148,20 @@ def test_stratified_split_of_a_tiny_class(spark):
     assert {r["label"]: r["count"] for r in test.groupBy("label").count().collect()} == {0: 2}
 
 
+def test_stratified_split_of_ten_thousand_classes(spark):
+    """Class c has c % 7 + 1 rows; one class more holds half of all."""
+    df = spark.range(10_000).selectExpr("id as label", "explode(sequence(0, cast(id % 7 as int))) as k").unionByName(
+        spark.range(40_000).selectExpr("cast(-1 as bigint) as label", "cast(id as int) as k"))
+    df = df.withColumn("id", F.concat_ws("-", "label", "k"))
+    _, test = split.split_stratified(df, "id", "label", fraction=0.4)
+    sizes = {r["label"]: r["count"] for r in test.groupBy("label").count().collect()}
+    expected = {c: int(0.4 * (c % 7 + 1) + 0.5) for c in range(10_000)}
+    assert sizes == {c: n for c, n in expected.items() if n} | {-1: 16_000}
+    lowest = df.where("label = -1").select("id").collect()
+    order = sorted((md5(f"{r.id}#42".encode()).hexdigest()[:10], r.id) for r in lowest)[:16_000]
+    assert {r.id for r in test.where("label = -1").collect()} == {i for _, i in order}
+
+
 def test_batches_have_equal_size(spark):
     df = spark.range(250).repartition(6)
     sizes = {r["batch_id"]: r["count"] for r in split.assign_batches(df, "id").groupBy("batch_id").count().collect()}
