@@ -7,6 +7,7 @@ from ledgerloom.catalog.applicants import applicants
 from ledgerloom.operators import encode, evaluate, train, tuning
 from ledgerloom.plans import applicant_models as models
 from ledgerloom.plans.shared import fresh_path, materialize
+from ledgerloom.streaming import train_stream
 from ledgerloom.streaming.score_stream import read_scored, score_stream, stage_requests
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -270,7 +271,7 @@ def test_boosting_goes_on_from_batch_to_batch(spark):
 
     df = spark.range(1200).selectExpr("id", "cast(id % 3 as long) as batch", "rand(5) as a").withColumn("y", F.col("a") * 10)
     vectors = materialize(VectorAssembler(inputCols=["a"], outputCol="features").transform(df), "batches")
-    scored = train.train_incremental(vectors, "batch", "y", "id", {"trees": 4, "depth": 3, "learning_rate": 0.3})
+    scored = train_stream.train_incremental(vectors, "batch", "y", "id", {"trees": 4, "depth": 3, "learning_rate": 0.3})
     errors = {r["batch"]: r["rmse"] for r in evaluate.batch_metrics(scored, "batch", "y", "prediction").collect()}
     assert errors[2] < errors[1] < errors[0]
     assert scored.select("id").distinct().count() == scored.count()
