@@ -17,13 +17,14 @@ from ledgerloom.catalog.applicants import applicants
 from ledgerloom.catalog.profile_queries import held_out_sql
 from ledgerloom.catalog.registry import register
 from ledgerloom.catalog.score_queries import request_rows
-from ledgerloom.operators import encode, evaluate, train
-from ledgerloom.operators.split import holdout_flag
+from ledgerloom.operators import encode, evaluate, explain, train, tuning
+from ledgerloom.operators.split import assign_batches, holdout_flag
 from ledgerloom.operators.validate import with_reasons
 from ledgerloom.plans import applicant_models as models
 from ledgerloom.plans.shared import fresh_path, materialize
 from ledgerloom.catalog.column_queries import _REQUEST_SQL, ALL_REASONS_SQL
 from ledgerloom.streaming.score_stream import read_scored, score_stream, stage_requests
+from ledgerloom.streaming.train_stream import train_incremental as train_by_batches
 
 KEY = "unique_id"
 TARGET = "target"
@@ -187,53 +188,82 @@ def permutation_importance(spark, sf_dir):
         F.coalesce(F.bool_and(F.when(F.col("Importance") == 0, F.col("rmse_increase") == 0)), F.lit(True)).alias("unused_are_zero"))
 
 
-@register("score_income", "select unique_id, true as monthly, true as complete, true as confident from app")
+def _walk(spark, vectors: DataFrame, model, name: str) -> DataFrame:
+    """Add the margin that the model's exported node table gives, walked apart from the model itself."""
+    return explain.from_mllib(spark, model).transform(vectors, name=name)
+
+
+def _near(a, b) -> Column:
+    return F.coalesce(F.abs(a - b) <= 1e-9 * (1 + F.abs(a)), F.lit(False))
+
+
+def _walked_income(spark, rows: DataFrame, scorer) -> DataFrame:
+    """The key and the income that the node tables of the voting members give."""
+    walked = scorer.vectors(rows)
+    for name, model in scorer.income.members.items():
+        walked = _walk(spark, walked, model, f"prediction_{name}")
+    return walked.select(KEY, F.expm1(train.vote(scorer.income.weights)).alias("walked"))
+
+
+def _walked_repayment(spark, rows: DataFrame, scorer) -> DataFrame:
+    margin = _walk(spark, scorer.vectors(rows), scorer.repayment, "margin")
+    return margin.select(KEY, (1.0 / (1.0 + F.exp(-2.0 * F.col("margin")))).alias("walked"))
+
+
+@register("score_income", "select unique_id, true as walked, true as monthly, true as complete, true as confident from app")
 def score_income(spark, sf_dir):
-    scored = models.score_income(applicants(spark, sf_dir), _income(_Session(spark, sf_dir))[0])
+    """Incomes against those that the exported trees give."""
+    scorer, rows = _income(_Session(spark, sf_dir))[0], applicants(spark, sf_dir)
+    scored = models.score_income(rows, scorer).join(_walked_income(spark, rows, scorer), KEY)
     annual, monthly = F.col("predicted_annual_income"), F.col("predicted_monthly_income")
     share = F.col("available_features") / F.col("total_features") * 100
     return scored.select(
-        KEY, (F.abs(annual / 12 - monthly) < 1e-6).alias("monthly"),
+        KEY, _near(annual, F.col("walked")).alias("walked"), _near(F.col("walked") / 12, monthly).alias("monthly"),
         (F.abs(share - F.col("feature_completeness")) < 1e-9).alias("complete"),
         F.col("confidence_score").between(0, 1).alias("confident"))
 
 
 def _follows() -> Column:
-    """Whether status and prediction follow from probability and threshold."""
-    status = F.when(F.col("probability") >= F.col("threshold"), "Good").otherwise("Bad")
-    same = (F.col("status") == status) & (F.col("prediction") == (F.col("status") == "Good").cast("int"))
-    return same.alias("follows")
+    """Whether status and prediction follow from the walked probability and the threshold."""
+    status = F.when(F.col("walked") >= F.col("threshold"), "Good").otherwise("Bad")
+    same = (F.col("status") == status) & (F.col("prediction") == (status == "Good").cast("int"))
+    return (same & _near(F.col("probability"), F.col("walked"))).alias("follows")
 
 
 @register("score_repayment", "select unique_id, 0.6::double as threshold, true as follows from app")
 def score_repayment(spark, sf_dir):
-    scored = models.score_repayment(applicants(spark, sf_dir), _both(_Session(spark, sf_dir))[0], 0.6)
-    return scored.select(KEY, "threshold", _follows())
+    """Probability, status and class against those that the exported trees give."""
+    scorer, rows = _both(_Session(spark, sf_dir))[0], applicants(spark, sf_dir)
+    scored = models.score_repayment(rows, scorer, 0.6)
+    return scored.join(_walked_repayment(spark, rows, scorer), KEY).select(KEY, "threshold", _follows())
 
 
-@register("score_capability", "select unique_id, true as restored, true as same_confidence from app")
+@register("score_capability", "select unique_id, true as walked, true as restored, true as confidence_of_importances from app")
 def score_capability(spark, sf_dir):
-    """The income is the capability score put back on its scale."""
+    """The capability score is what the exported trees give, the income is that score put back on its scale."""
     scorer = _both(_Session(spark, sf_dir))[0]
     rows = applicants(spark, sf_dir)
-    scores = models.score_capability(rows, scorer).withColumnRenamed("confidence_score", "c")
-    incomes = models.score_capability(rows, scorer, as_income=True)
-    back = scorer.bounds.inverse(F.col("capability_score"))
-    return scores.join(incomes, KEY).select(
-        KEY, (F.abs(back - F.col("predicted_income")) < 1e-6).alias("restored"),
-        (F.col("c") == F.col("confidence_score")).alias("same_confidence"))
+    scores = models.score_capability(rows, scorer)
+    incomes = models.score_capability(rows, scorer, as_income=True).drop("confidence_score")
+    walked = _walk(spark, scorer.vectors(rows), scorer.capability, "margin").select(KEY, "margin")
+    back = scorer.bounds.low + F.col("capability_score") * (scorer.bounds.high - scorer.bounds.low)
+    weights = [float(v) for v in scorer.capability.featureImportances.toArray()]
+    mean = sum(weights) / len(weights)
+    return scores.join(incomes, KEY).join(walked, KEY).select(
+        KEY, _near(F.col("margin"), F.col("capability_score")).alias("walked"),
+        (F.abs(back - F.col("predicted_income")) < 1e-6).alias("restored"),
+        _near(F.col("confidence_score"), F.lit(mean)).alias("confidence_of_importances"))
 
 
 @register("score_combined", "select unique_id, 0.5::double as threshold, true as follows, true as same_income from app")
 def score_combined(spark, sf_dir):
-    """Combined scores against those of the income scorer alone."""
+    """Combined scores against those that the exported trees of both scorers give."""
     at = _Session(spark, sf_dir)
-    rows = applicants(spark, sf_dir)
-    both = models.score_combined(rows, _income(at)[0], _both(at)[0])
-    alone = models.score_income(rows, _income(at)[0]).select(KEY, F.col("predicted_annual_income").alias("alone"))
+    rows, income, repayment = applicants(spark, sf_dir), _income(at)[0], _both(at)[0]
+    both = models.score_combined(rows, income, repayment).join(_walked_repayment(spark, rows, repayment), KEY)
+    alone = _walked_income(spark, rows, income).withColumnRenamed("walked", "alone")
     return both.join(alone, KEY).select(
-        KEY, "threshold", _follows(),
-        (F.abs(F.col("alone") - F.col("predicted_annual_income")) < 1e-6).alias("same_income"))
+        KEY, "threshold", _follows(), _near(F.col("alone"), F.col("predicted_annual_income")).alias("same_income"))
 
 
 @register("save_and_load_scorer", "select unique_id, true as same from app")
@@ -291,3 +321,91 @@ def score_stream_models(spark, sf_dir):
     joined = ids.join(streamed, KEY, "left").join(table, KEY, "left")
     agree = F.when(F.col("valid"), F.abs(F.col("streamed") - F.col("probability")) < 1e-9).otherwise(F.col("streamed").isNull())
     return joined.select(KEY, "valid", F.coalesce(agree, F.lit(False)).alias("same"))
+
+
+def _values(name: str, values) -> str:
+    return f"(select unnest([{', '.join(map(str, values))}]) as {name})"
+
+
+_GRID_SQL = (
+    "select *, 5 as folds, true as scored, true as winner_is_of_use from "
+    + " cross join ".join(_values(n, v) for n, v in fv.TUNING_GRID.items()))
+
+
+def _grid(spark, sf_dir, label: str, task: str) -> DataFrame:
+    """Every point of the full grid; the best must beat the mean (r2) or half of the true ones (f1)."""
+    vectors = _vectors(_Session(spark, sf_dir))[0]
+    search = tuning.grid_search(vectors, KEY, label, task)
+    scores = search.table(spark)
+    return scores.select(
+        *[F.col(n).cast("double" if isinstance(v[0], float) else "int").alias(n) for n, v in fv.TUNING_GRID.items()],
+        F.size("fold_scores").alias("folds"), (F.abs("score") <= 1).alias("scored"),
+        F.lit(search.scores[0] > (0 if task == "regression" else 0.5)).alias("winner_is_of_use"))
+
+
+@register("grid_search", _GRID_SQL, applicants=False)
+def grid_search(spark, sf_dir):
+    return _grid(spark, sf_dir, "income_log", "regression")
+
+
+@register("grid_search_classifier", _GRID_SQL, applicants=False)
+def grid_search_classifier(spark, sf_dir):
+    return _grid(spark, sf_dir, "repayment_ok", "classification")
+
+
+@register("cross_validate", "select fold, true as beats_the_mean from range(5) r(fold)", applicants=False)
+def cross_validate(spark, sf_dir):
+    scores = tuning.cross_validate(_vectors(_Session(spark, sf_dir))[0], KEY, "income_log")
+    return spark.createDataFrame([(k, s > 0) for k, s in enumerate(scores)], "fold long, beats_the_mean boolean")
+
+
+def _draws_sql() -> str:
+    rows = []
+    for family in fv.VOTING_WEIGHTS:
+        for p in tuning.draw_points(family, fv.RANDOM_SEARCH_TRIALS):
+            trees = "null" if family == "boosted_validated" else p["trees"]
+            rate = repr(p["learning_rate"]) if "learning_rate" in p else "null"
+            rows.append(f"('{family}', {trees}::int, {p['depth']}, {rate}::double, true, true)")
+    return f"select * from (values {', '.join(rows)}) v(family, trees, depth, learning_rate, scored, best_beats_mean)"
+
+
+@register("random_search", _draws_sql(), applicants=False)
+def random_search(spark, sf_dir):
+    """All trials of the three families; the number of trees of early-stopped ones is found, not drawn."""
+    at = _Session(spark, sf_dir)
+    rest = _vectors(at)[0]
+    validation = holdout_flag(KEY, 0.25, seed=43)
+    rows = []
+    for family in fv.VOTING_WEIGHTS:
+        found = tuning.random_search(rest.where(~validation), rest.where(validation), KEY, "income_log", family)
+        spread = rest.where(validation).agg(F.stddev_pop("income_log")).first()[0]
+        rows += [(family, None if family == "boosted_validated" else p["trees"], p["depth"], p.get("learning_rate"),
+                  0 < rmse < float("inf"), found[0][1] < spread) for p, rmse in found]
+    return spark.createDataFrame(rows, "family string, trees int, depth int, learning_rate double, scored boolean, best_beats_mean boolean")
+
+
+@register("train_incremental", f"""
+, numbered as (select unique_id, target, floor((row_number() over (order by unique_id) - 1) / 100)::bigint as batch_id
+  from app where target is not null)
+select unique_id, batch_id, true as predicted, true as better_than_mean from numbered where {held_out_sql()}""")
+def train_incremental(spark, sf_dir):
+    """Boosting over batches of 100 rows; the held-out rows of each batch are scored by the model after it."""
+    rest, test, _ = _vectors(_Session(spark, sf_dir))
+    batched = assign_batches(rest.unionByName(test), KEY)
+    scored = materialize(train_by_batches(batched, "batch_id", "income_log", KEY), "incremental")
+    verdict = scored.agg(_better("income_log", "prediction").alias("b")).first()["b"]
+    return scored.select(
+        KEY, "batch_id", (F.abs("prediction") < float("inf")).alias("predicted"), F.lit(verdict).alias("better_than_mean"))
+
+
+@register("tree_contributions", "select unique_id, true as adds_up, true as unused_are_zero" + _TEST_ROWS)
+def tree_contributions(spark, sf_dir):
+    """Contributions of the forest: with the mean they add up to its prediction, and slots without a split have none."""
+    at = _Session(spark, sf_dir)
+    model = explain.from_mllib(spark, _forest(at))
+    rows = explain.tree_contributions(_forest(at).transform(_vectors(at)[1]), model)
+    used = model.importances() > 0
+    total = F.aggregate("contributions", F.lit(explain.mean_margin(model)), lambda a, v: a + v)
+    unused = F.array(*[F.abs(F.col("contributions")[i]) for i in range(len(used)) if not used[i]] or [F.lit(0.0)])
+    return rows.select(
+        KEY, _near(total, F.col("prediction")).alias("adds_up"), (F.array_max(unused) == 0).alias("unused_are_zero"))
