@@ -143,11 +143,11 @@ placed AS (
              WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') ELSE true END
 ), owned AS (SELECT v, count(DISTINCT split_part(repo, '/', 1)) AS owners FROM wanted GROUP BY v),
 spans AS (
-  SELECT doc_id, kind, s, owners, (CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'opaque' END) || ':' || s || ':' || e AS w
-  FROM wanted JOIN owned USING (v) WHERE kind < 3 OR owners = 1
+  SELECT doc_id, kind, s, owners, kind < 3 OR owners < {secret_scan.WIDE_OWNERS} AS listed, (CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'opaque' END) || ':' || s || ':' || e AS w
+  FROM wanted JOIN owned USING (v)
 ), per_doc AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS b, count(*) FILTER (WHERE kind = 2) AS c,
-         string_agg(w, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(w, ',' ORDER BY s, kind) AS spans,
+         string_agg(w, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(w, ',' ORDER BY s, kind) FILTER (WHERE listed) AS spans,
          count(*) FILTER (WHERE owners < {secret_scan.WIDE_OWNERS}) AS live, count(*) FILTER (WHERE owners >= {secret_scan.WIDE_OWNERS}) AS example
   FROM spans GROUP BY doc_id
 )

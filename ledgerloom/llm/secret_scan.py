@@ -73,8 +73,9 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", wide_owners: int = WIDE_OWNERS) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
-    spans has kind:start:end of all spans by start and kind; base_sha256 is the digest of the same
-    text for the base kinds. n_live and n_example count the spans by ownership. Defined results: a null
+    spans has kind:start:end of the spans by start and kind: all of the base kinds, and opaque tokens of fewer
+    than `wide_owners` owners; base_sha256 is the digest of the same text for the base kinds. n_live and
+    n_example count all candidates, opaque ones included, with fewer owners than that and with as many or more. Defined results: a null
     text is empty, and a null repository is one unnamed repository; repeated rows get equal results
     and add nothing to ownership; an empty table gives no rows; other columns are ignored.
     """
@@ -94,7 +95,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     frequency = owned.groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(
         F.count("*").alias("owners"), F.sum("repos").alias("repos")
     )
-    judged = candidates.join(frequency, "hash").filter("kind < 3 or owners = 1")
+    judged = candidates.join(frequency, "hash")
     span = F.struct("start", "kind", "end", (F.col("owners") < wide_owners).alias("live"))
     per_row = judged.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     full = rows.select("row", "doc_id").join(per_row, "row", "left").withColumn(
@@ -107,7 +108,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     return full.select(
         "doc_id", *[count(_is_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)],
-        F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"),
+        F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(F.filter("spans", lambda s: (s["kind"] < 3) | s["live"])).alias("spans"),
         count(lambda s: s["live"]).alias("n_live"), count(lambda s: ~s["live"]).alias("n_example"),
     )
 

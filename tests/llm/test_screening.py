@@ -30,12 +30,13 @@ def scan_by_hand(rows):
             owners[s[3]].add((repo or "").split("/")[0])
     result = []
     for doc_id, text, repo in rows:
-        spans = [s for s in spans_by_hand(text or "") if s[1] < 3 or len(owners[s[3]]) == 1]
+        every = spans_by_hand(text or "")
+        spans = [s for s in every if s[1] < 3 or len(owners[s[3]]) < secret_scan.WIDE_OWNERS]
         written = [f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b, _ in spans]
         base = ",".join(w for w, s in zip(written, spans, strict=True) if s[1] < 3)
-        live = sum(len(owners[s[3]]) < secret_scan.WIDE_OWNERS for s in spans)
+        live = sum(len(owners[s[3]]) < secret_scan.WIDE_OWNERS for s in every)
         counts = [sum(s[1] == k for s in spans) for k in range(3)]
-        result.append((doc_id, *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(written), live, len(spans) - live))
+        result.append((doc_id, *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(written), live, len(every) - live))
     return sorted(result, key=str)
 
 
