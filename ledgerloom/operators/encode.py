@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
+from ledgerloom.functions.scalars import hash_number
 from ledgerloom.functions.text import as_double, literal, named, quoted
 from ledgerloom.plans.cells import collected
-from ledgerloom.plans.shared import materialize
+from ledgerloom.plans.numbering import running_within
+from ledgerloom.plans.shared import Stored, materialize
 
 
 @dataclass(frozen=True)
@@ -101,6 +103,55 @@ class TargetEncode:
         return TargetEncoding(self.columns, materialize(table, "target-encoding"), prior)
 
 
+class OrderedTargetEncode:
+    """Category means over the rows before a row, in the order of a hash of its key.
+
+    A row's own target never enters its value, so the encoding does not leak it. Running sums
+    are taken over range partitions, so a category may hold any part of the rows. New rows take
+    the sums of all training rows.
+    """
+
+    def __init__(self, columns: Sequence[str] = tuple(fv.TARGET_ENCODED), prior_weight: float = 1.0,
+                 seed: int = fv.SPLIT_SEED):
+        self.columns = list(columns)
+        self.prior_weight = prior_weight
+        self.seed = seed
+
+    def _smoothed(self, total, n, prior: float):
+        weight = F.lit(float(self.prior_weight))
+        return (F.coalesce(total, F.lit(0.0)) + weight * F.lit(prior)) / (F.coalesce(n, F.lit(0)) + weight)
+
+    def fit_transform(self, df: DataFrame, key: str, target: str) -> tuple[DataFrame, TargetEncoding]:
+        """The rows with their columns replaced, and the encoding for rows to come.
+
+        ``key`` must be unique. Missing categories get the prior, the mean of all targets; rows without a target are
+        encoded like new ones.
+        """
+        known = df.where(F.col(target).isNotNull())
+        prior = known.agg(F.avg(F.col(target).cast("double")).alias("prior")).first()["prior"]
+        if prior is None:
+            raise ValueError(f"no value present in {target}")
+        cells = known.select(
+            F.col(f"`{key}`").alias("_key"), F.col(target).cast("double").alias("_target"),
+            hash_number(F.col(f"`{key}`"), self.seed, digits=8).alias("_order"),
+            *[F.col(f"`{c}`").cast("string").alias(c) for c in self.columns],
+        ).unpivot(["_key", "_target", "_order"], self.columns, "feature", "category").where("category is not null")
+        placed, ranged = running_within(cells, ["feature", "category"], ["_order", "_key"], {"_upto": "_target"}, "_nth")
+        before = placed.select("_key", "feature", self._smoothed(
+            F.col("_upto") - F.col("_target"), F.col("_nth"), prior).alias("value"))
+        wide = Stored(before.groupBy("_key").agg(*[
+            F.max(F.when(F.col("feature") == c, F.col("value"))).alias(f"_encoded_{i}") for i, c in enumerate(self.columns)]), "ordered")
+        ranged.drop()
+        table = materialize(cells.groupBy("feature", "category").agg(F.count("*").alias("n"), F.sum("_target").alias("_sum")).select(
+            "feature", "category", "n", self._smoothed(F.col("_sum"), F.col("n"), prior).alias("encoded")), "target-encoding")
+        encoding = TargetEncoding(self.columns, table, prior)
+        joined = known.join(wide.frame, F.col(f"`{key}`") == F.col("_key"), "left")
+        own = joined.selectExpr(*[
+            named(f"coalesce(_encoded_{self.columns.index(c)}, {literal(prior)})", c) if c in self.columns else quoted(c)
+            for c in df.columns])
+        return own.unionByName(encoding.transform(df.where(F.col(target).isNull()))), encoding
+
+
 def one_hot_stages(columns: Sequence[str]) -> list:
     """Index and expand each column; unknown and missing values become all zeros."""
     if not columns:

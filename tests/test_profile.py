@@ -166,3 +166,26 @@ def test_batches_have_equal_size(spark):
     df = spark.range(250).repartition(6)
     sizes = {r["batch_id"]: r["count"] for r in split.assign_batches(df, "id").groupBy("batch_id").count().collect()}
     assert sizes == {0: 100, 1: 100, 2: 50}
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_ordered_encoding_does_not_see_its_own_target(spark, partitions):
+    """A hot category, a rare one, a missing one; rows without a target are encoded like new ones."""
+    rng = random.Random(3)
+    rows = [(i, "hot" if i % 3 else rng.choice(["a", "b", None]), None if i % 50 == 7 else float(i % 11)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, c string, y double").repartition(partitions)
+    encoded, encoding = encode.OrderedTargetEncode(["c"], prior_weight=2.0).fit_transform(df, "id", "y")
+    found = {r.id: r.c for r in encoded.collect()}
+    known = [r for r in rows if r[2] is not None]
+    prior = sum(y for _, _, y in known) / len(known)
+    order = sorted(known, key=lambda r: (int(md5(f"{r[0]}#42".encode()).hexdigest()[:8], 16), r[0]))
+    sums = {}
+    for i, c, y in order:
+        total, n = sums.get(c, (0.0, 0))
+        assert found[i] == pytest.approx((total + 2 * prior) / (n + 2) if c is not None else prior)
+        sums[c] = (total + y, n + 1)
+    new = spark.createDataFrame([(1, "hot"), (2, "unseen"), (3, None)], "id long, c string")
+    values = {r.id: r.c for r in encoding.transform(new).collect()}
+    whole = (sums["hot"][0] + 2 * prior) / (sums["hot"][1] + 2)
+    assert values == pytest.approx({1: whole, 2: prior, 3: prior})
+    assert all(found[i] == pytest.approx(whole) for i, c, y in rows if y is None and c == "hot")
