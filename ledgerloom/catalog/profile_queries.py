@@ -10,9 +10,9 @@ from ledgerloom import fixed_values as fv
 from ledgerloom.catalog.applicants import applicants, raw_applicants, raw_names
 from ledgerloom.catalog.impute_queries import RAW_FILLED, RAW_LAST
 from ledgerloom.catalog.registry import register
-from ledgerloom.operators import encode, impute, profile, split
+from ledgerloom.operators import encode, impute, profile, profile_state, split
 from ledgerloom.operators.features import add_age_bin, label_repayment_ok
-from ledgerloom.plans.shared import materialize
+from ledgerloom.plans.shared import fresh_path, materialize
 
 _COLUMNS = [c for c in raw_names().values()]
 _NUMERIC = [c for c in _COLUMNS if c not in fv.TEXT_COLUMNS and c not in ("unique_id", "target")]
@@ -339,3 +339,29 @@ def ordered_target_encode(spark, sf_dir):
     df = add_age_bin(applicants(spark, sf_dir).select("unique_id", "target", "age", *_ENCODED[:-1]))
     encoded, _ = encode.OrderedTargetEncode().fit_transform(materialize(df, "applicants"), "unique_id", "target")
     return encoded.select("unique_id", *[F.round(c, 4).alias(c) for c in _ENCODED])
+
+
+def _state_sql(c: str) -> str:
+    return (
+        f"select '{c}' as feature, count({_quoted(c)}) as present, round(1 - count({_quoted(c)}) / count(*), 6) as missing_fraction, "
+        f"round(avg({_quoted(c)}), 4) as mean, round(stddev_samp({_quoted(c)}), 4) as stddev, min({_quoted(c)})::double as min, "
+        f"max({_quoted(c)})::double as max, round(corr({_quoted(c)}, target), 6) as corr, true as quantiles_close from app")
+
+
+@register("profile_state", " " + " union all ".join(_state_sql(c) for c in _NUMERIC))
+def merged_profile(spark, sf_dir):
+    """Profiles of four parts, stored and merged; medians of the sketch lie within 2 % of the ranks around it."""
+    df = materialize(applicants(spark, sf_dir).select("unique_id", "target", *[F.col(f"`{c}`") for c in _NUMERIC]), "columns")
+    folder = fresh_path(spark, "profile-states")
+    for k in range(4):
+        part = df.where(F.pmod(F.xxhash64("unique_id"), F.lit(4)) == k)
+        profile_state.store_state(profile_state.number_state(part, _NUMERIC, "target"), folder, str(k))
+    report = profile_state.number_report(profile_state.merge_number_states(profile_state.read_states(spark, folder)))
+    around = profile.exact_quantiles(df, {c: [0.48, 0.52] for c in _NUMERIC})
+    bounds = spark.createDataFrame(
+        [(c, around[c, 0.48], around[c, 0.52]) for c in _NUMERIC], "feature string, low double, high double")
+    median = F.col("quantiles")[1]
+    close = F.coalesce(median.between(F.col("low"), F.col("high")), F.col("present") == 0)
+    return report.join(bounds, "feature").select(
+        "feature", "present", F.round("missing_fraction", 6).alias("missing_fraction"), F.round("mean", 4).alias("mean"),
+        F.round("stddev", 4).alias("stddev"), "min", "max", F.round("corr", 6).alias("corr"), close.alias("quantiles_close"))
