@@ -143,3 +143,31 @@ def test_features_of_hard_texts():
     for _, text, *_ in edge_cases.rows():
         assert np.isfinite(quality.text_features(text)).all()
     assert not quality.text_features(None).any() and not quality.text_features("").any()
+
+
+def test_ranker_against_a_plain_fit(spark):
+    """Weights and threshold against Newton's method on the same pairs."""
+    rng = np.random.default_rng(11)
+    features = rng.normal(0, 2, (90, quality.WIDTH)).astype(np.float32)
+    labels = (features[:, 0] + 0.5 * features[:, 1] + rng.normal(0, 1, 90) > -0.5).astype(int)
+    rows = [(k, features[k].tolist(), int(labels[k])) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, features array<float>, label int").repartition(3)
+    pairs = 400
+    ranker = quality.fit_ranker(df, pairs=pairs)
+    order = [r.doc_id for r in df.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("h")).orderBy("h", "doc_id").collect()]
+    good, bad = ([d for d in order if labels[d] == k] for k in (1, 0))
+    picks = spark.range(pairs).select("id", F.pmod(F.xxhash64("id"), F.lit(len(bad))).alias("b")).collect()
+    x = features.astype(float)
+    x = (x - x.mean(0)) / x.std(0)
+    difference = np.array([x[good[p.id % len(good)]] - x[bad[p.b]] for p in picks])  # the one preferred first
+    weights = np.zeros(quality.WIDTH)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(difference @ weights))
+        slope = -(difference * p[:, None]).mean(0) + quality.REGULARISATION * weights
+        curve = (difference.T * (p * (1 - p))) @ difference / pairs + quality.REGULARISATION * np.eye(quality.WIDTH)
+        weights -= np.linalg.solve(curve, slope)
+    margins = x @ weights
+    mine = x @ ranker.weights
+    assert np.corrcoef(margins, mine)[0, 1] > 0.9999
+    assert np.allclose(ranker.weights, weights, atol=0.02 * np.abs(weights).max())
+    assert abs(ranker.threshold - np.quantile(mine, (labels == 0).mean())) < 1e-6
