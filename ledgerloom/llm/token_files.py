@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import arrow_rows, ids_and_texts, shuffle_partitions, texts_of
+from ledgerloom.plans.numbering import running_totals
 from ledgerloom.plans.shared import Stored, fresh_path
 
 BLOCK_IDS = 1 << 16
@@ -40,7 +41,11 @@ CACHED_WORDS = 900_000
 MAGIC = b"LLTK"
 HEADER = struct.Struct("<4sHHIQQQ")
 
+#: How the vocabulary writes the end of a token group.
+WORD_END = "</w>"
+
 _BATCH_CHARS = 1 << 20
+_JOINED_WORDS = 512
 _FILE = pa.schema([
     ("part", pa.int64()), ("number", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),
 ])
@@ -106,7 +111,7 @@ class TokenFile:
 
 
 class TokenFileWriter:
-    """Writes one file block by block; only the unfinished block and the index are held."""
+    """Writes one file; its packed blocks, the unfinished block and the index are held until it is closed."""
 
     def __init__(self, path: str, bits: int, block_ids: int = BLOCK_IDS) -> None:
         store, name = fs.FileSystem.from_uri(path)
@@ -154,6 +159,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
         self.closing: dict[str, bool] = {}
 
@@ -175,28 +182,54 @@ class WordEncoder:
         """Ids of new words. A tail of ASCII marks is a token group of its own, so a word with one takes
         the ids of its two parts."""
         known = self.known
-        parts = {word: (core, word[len(core) :]) for word in words if (core := self._core(word)) != word}
-        new = list({p for some in parts.values() for p in some if p not in known} | {w for w in words if w not in parts and w not in known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
+        tailed, lettered, others = [], [], []
+        new: set[bytes] = set()
+        for word in words:
+            core = self._core(word)
+            new.add(core)
+            if core != word:
+                tail = word[len(core) :]
+                tailed.append((word, core, tail))
+                new.add(tail)
+        for word in new.difference(known):
+            (lettered if word.decode().isalpha() else others).append(word)
+        for k in range(0, len(lettered), 8 * _JOINED_WORDS):
+            others += self._learn_joined(lettered[k : k + 8 * _JOINED_WORDS])
+        for k in range(0, len(others), 4096):
+            part = others[k : k + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             for word, ids in zip(part, found, strict=True):
                 known[word] = struct.pack(f"<{len(ids.ids)}I", *ids.ids)
-        for word, (core, tail) in parts.items():
+        for word, core, tail in tailed:
             known[word] = known[core] + known[tail]
 
+    def _learn_joined(self, words: list[bytes]) -> list[bytes]:
+        """Encode words of letters, many as one text; returns those whose ids can't be told apart.
+
+        The last id of a token group, and no other, ends a word. Every word is one group or more (a letter may lower
+        to a letter and a mark), so where there are as many groups as words, each word is one.
+        """
+        portions = [words[k : k + _JOINED_WORDS] for k in range(0, len(words), _JOINED_WORDS)]
+        found = self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in portions], add_special_tokens=False)
+        unclear: list[bytes] = []
+        for portion, encoding in zip(portions, found, strict=True):
+            ids = np.array(encoding.ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(portion):
+                data = ids.tobytes()
+                self.known.update(zip(portion, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+            else:
+                unclear += portion
+        return unclear
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
         words = [_words(t) for t in texts]
-        found = [list(map(known.get, some)) for some in words]
-        unknown = {w for some, got in zip(words, found, strict=True) if None in got for w, ids in zip(some, got, strict=True) if ids is None}
-        if len(known) + len(unknown) > CACHED_WORDS:
-            known.clear()  # what is already found stays in `found`
+        distinct = set().union(*words)
+        unknown = distinct.difference(self.known)
+        if len(self.known) + len(unknown) > CACHED_WORDS:
+            self.known = {w: self.known[w] for w in distinct.difference(unknown)}
         self._learn(unknown)
-        return [
-            np.frombuffer(b"".join([known[w] if ids is None else ids for w, ids in zip(some, got, strict=True)] if None in got else got), "<u4")
-            for some, got in zip(words, found, strict=True)
-        ]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, some)), "<u4") for some in words]
 
 
 def _words(text: str) -> list[bytes]:
@@ -290,9 +323,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 yield from arrow_rows(_documents(row), _DOC)
 
-    earlier = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("before"))
-    files = placed.repartition(max(1, manifest.count()), "path")
+    placed = running_totals(manifest, ["part", "number"], {"upto": F.col("n_ids")})
+    files = placed.select("path", (F.col("upto") - F.col("n_ids")).alias("before")).repartition(max(1, manifest.count()), "path")
     return files.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

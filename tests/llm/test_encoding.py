@@ -180,3 +180,27 @@ def test_marks_after_every_letter():
     texts = ["a" + chr(c) + ",!" for c in range(128, 0x30000) if chr(c).isalpha() and not 0x4E01 <= c < 0xABFF and c < 0x20000]
     whole = library.encode_batch_fast(texts, add_special_tokens=False)
     assert all(a.tolist() == b.ids for a, b in zip(encoder.encode(texts), whole, strict=True))
+
+
+def test_joined_words_are_words_alone():
+    """Also where a letter becomes two groups (U+0130), scripts compose, words repeat, or the memory of words is full."""
+    random = np.random.default_rng(4)
+    library = Tokenizer.from_file(WORD_VOCABULARY)
+    letters = list("aBzéÉİıßςΣñ가가中あªʰǅﬁ'!.1²٣")
+    texts = [" ".join("".join(random.choice(letters, random.integers(1, 9))) for _ in range(random.integers(0, 40))) for _ in range(2000)]
+    whole = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    encoder = token_files.WordEncoder(WORD_VOCABULARY)
+    assert [ids.tolist() for ids in encoder.encode(texts)] == whole
+    for start in range(0, 2000, 100):
+        encoder.known = dict(list(encoder.known.items())[: token_files.CACHED_WORDS])
+        assert [ids.tolist() for ids in encoder.encode(texts[start : start + 100])] == whole[start : start + 100]
+    assert encoder._learn_joined(["plain".encode(), "İx".encode()]) != []
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_WORDS", 5)
+    encoder = token_files.WordEncoder(WORD_VOCABULARY)
+    library = Tokenizer.from_file(WORD_VOCABULARY)
+    for text in ["a b c d", "d e f.", "g h i j k l m", "a b"]:
+        assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) <= 5 + 4
