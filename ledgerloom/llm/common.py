@@ -47,6 +47,62 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Keys that a broadcast sieve may stand for: at most a quarter as many entries of about 40 bytes.
+SIEVE_KEYS = 4_000_000
+_KEYS_PER_WORD = 4
+_MAYBE = "_sieve_maybe"
+
+
+def _sieved(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, sieve_keys: int) -> DataFrame | None:
+    """The rows with the column _MAYBE, which is false only where `wanted`, a stored table, lacks the key.
+
+    A Bloom filter of two bits per key in one 64-bit word, broadcast: texts that cannot match then stay out of the
+    shuffle of the exact join that follows. None above `sieve_keys` keys, where it would be too large to broadcast.
+    """
+    count = wanted.count()
+    if count > sieve_keys:
+        return None
+    words = max(1, count // _KEYS_PER_WORD)
+    word = F.expr(f"pmod(shiftrightunsigned(_sieve_hash, 12), {words}L)")
+    bits = F.expr(
+        "shiftleft(1L, cast(_sieve_hash & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned(_sieve_hash, 6) & 63 as int))"
+    )
+    sieve = (
+        wanted.select(F.xxhash64(wanted_key).alias("_sieve_hash"))
+        .groupBy(word.alias("_sieve_word")).agg(F.bit_or(bits).alias("_sieve_bits"))
+    )
+    hashed = rows.withColumn("_sieve_hash", F.xxhash64(key)).withColumn("_sieve_word", word)
+    found = F.coalesce(F.col("_sieve_bits").bitwiseAND(bits) == bits, F.lit(False))
+    return (
+        hashed.join(F.broadcast(sieve), "_sieve_word", "left").withColumn(_MAYBE, found)
+        .drop("_sieve_hash", "_sieve_word", "_sieve_bits")
+    )
+
+
+def possible_matches(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, sieve_keys: int = SIEVE_KEYS) -> DataFrame:
+    """Rows whose key `wanted`, a stored table, may have: all that it has, and few others. The exact join is the caller's.
+
+    Null is a key like any other. With more than `sieve_keys` keys all rows come back.
+    """
+    sieved = _sieved(rows, key, wanted, wanted_key, sieve_keys)
+    return rows if sieved is None else sieved.filter(_MAYBE).drop(_MAYBE)
+
+
+def without(
+    rows: DataFrame, key: Column, lost: DataFrame, lost_key: Column, same: Column, sieve_keys: int = SIEVE_KEYS
+) -> DataFrame:
+    """The rows, called `d`, for which `same` holds with no row of `lost` (a stored table, called `x`).
+
+    `same` implies equal keys. Only rows that a sieve of the keys cannot rule out are shuffled; the others are read
+    in a pass of their own. Null is a key like any other; repeated rows of either side change nothing else.
+    """
+    sieved = _sieved(rows, key, lost, lost_key, sieve_keys)
+    if sieved is None:
+        return rows.alias("d").join(lost.alias("x"), same, "left_anti")
+    suspects = sieved.filter(_MAYBE).drop(_MAYBE).alias("d").join(lost.alias("x"), same, "left_anti")
+    return sieved.filter(~F.col(_MAYBE)).drop(_MAYBE).unionByName(suspects)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str | None]:
     """The texts of a batch one by one; the batch as a whole never becomes Python objects."""
     values = batch.column(batch.schema.get_field_index(column))

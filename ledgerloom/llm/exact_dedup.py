@@ -5,7 +5,8 @@
 2. Owners decode the lists, find fingerprints that several blocks hold, and answer each list
    with a bitmap. A fingerprint that occurs twice inside a block is marked by the block itself.
 3. Only rows that a bitmap marks are suspects. Their texts are shuffled and grouped as whole
-   strings, which verifies the copies byte by byte.
+   strings, which verifies the copies byte by byte. A broadcast sieve of the suspects' ids keeps the other
+   texts out of that shuffle; with more than SIEVE_KEYS suspects the join by id does so after it.
 
 A text that a third of all rows share is sent once per block, and the grouping of the suspects
 combines copies before the shuffle, so no group of copies meets in one task.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import golomb
-from ledgerloom.llm.common import ids_and_texts, lower_ascii, shuffle_partitions, texts_of
+from ledgerloom.llm.common import SIEVE_KEYS, ids_and_texts, lower_ascii, possible_matches, shuffle_partitions, texts_of, without
 from ledgerloom.plans.shared import Stored
 
 BLOCK_ROWS = 1 << 16
@@ -122,7 +123,7 @@ def mark_suspects(
 
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    owners: int | None = None, block_rows: int = BLOCK_ROWS,
+    owners: int | None = None, block_rows: int = BLOCK_ROWS, sieve_keys: int = SIEVE_KEYS,
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -134,9 +135,9 @@ def exact_duplicates(
     """
     marked = mark_suspects(docs, id_col, text_col, owners, block_rows)
     suspects = marked.filter("suspect")
-    texts = ids_and_texts(docs, id_col, text_col).alias("t").join(
-        suspects.select("doc_id").distinct().alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi"
-    )
+    ids = Stored(suspects.select("doc_id").distinct(), "suspect-ids").frame
+    possible = possible_matches(ids_and_texts(docs, id_col, text_col), F.col("doc_id"), ids, F.col("doc_id"), sieve_keys)
+    texts = possible.alias("t").join(ids.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
     verified = (
         texts.select("doc_id", lower_ascii(F.col("text")).alias("normal"))
         .groupBy("normal").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -157,26 +158,33 @@ def exact_duplicates(
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sieve_keys: int = SIEVE_KEYS,
+) -> DataFrame:
     """The rows that stay, with all their columns; of rows repeated in full one stays.
 
     Only the ids and digests of dropped rows travel to the documents. Rows of an id that occurs
-    more than once go through one more grouping, as the id alone does not tell them apart.
+    more than once go through one more grouping, as the id alone does not tell them apart. Defined results: a null
+    text equals an empty one, of whose rows one stays; a null id loses against any other; an empty table
+    stays empty; other columns may have any name.
     """
-    found = Stored(exact_duplicates(docs, id_col, text_col), "exact").frame
+    found = Stored(exact_duplicates(docs, id_col, text_col, sieve_keys=sieve_keys), "exact").frame
+    id_of, text_of = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     digest = F.sha2(lower_ascii(F.col(f"d.`{text_col}`")).cast("binary"), 256)
-    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("f.doc_id"))
+    same = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("x.doc_id"))
     many = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    lost = found.filter("not kept").select("doc_id")
-    once = docs.alias("d").join(lost.union(many).distinct().alias("f"), same, "left_anti")
-    stays = found.filter("kept").alias("k").join(
-        many.alias("m"), F.col("k.doc_id").eqNullSafe(F.col("m.doc_id")), "left_semi"
-    )
+    lost = Stored(found.filter("not kept").select("doc_id").union(many).distinct(), "lost-ids").frame
+    once = without(docs, id_of.cast("long"), lost, F.col("doc_id"), same, sieve_keys)
+    stays = Stored(
+        found.filter("kept").alias("k").join(many.alias("m"), F.col("k.doc_id").eqNullSafe(F.col("m.doc_id")), "left_semi")
+        .select("doc_id", "text_sha256").distinct(),
+        "repeated-ids",
+    ).frame
     again = (
-        docs.alias("d")
-        .join(stays.select("doc_id", "text_sha256").distinct().alias("f"), same & (digest == F.col("f.text_sha256")), "left_semi")
+        possible_matches(docs, id_of.cast("long"), stays, F.col("doc_id"), sieve_keys).alias("d")
+        .join(stays.alias("x"), same & (digest == F.col("x.text_sha256")), "left_semi")
     )
-    kept_of_many = again.groupBy(F.col(f"`{id_col}`"), lower_ascii(F.col(f"`{text_col}`"))).agg(
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(f"`{text_col}`")).alias("row")
+    kept_of_many = again.groupBy(id_of, lower_ascii(text_of)).agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text_of).alias("row")
     )
     return once.unionByName(kept_of_many.select("row.*"))

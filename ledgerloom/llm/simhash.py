@@ -1,8 +1,8 @@
 """SimHash near-deduplication with BK-trees.
 
-Fingerprints that differ in at most `radius` bits agree on at least one of `radius + 1` blocks of
-bits. Every distinct fingerprint therefore goes to one bucket per block, and only buckets with two
-or more members matter. A bucket is cut into parts of a bounded number of fingerprints. Each part
+Fingerprints that differ in at most `radius` bits agree on at least two of `radius + 2` blocks of
+bits. Every distinct fingerprint therefore goes to one bucket per pair of blocks, and only buckets with two
+or more members matter. With a radius of 2 a pair has 32 bits, so buckets are small. A bucket is cut into parts of a bounded number of fingerprints. Each part
 becomes one BK-tree, whose children hang on edges labelled with their Hamming distance to the
 parent; the tree of a part is sent to every part of its bucket that has to be searched against it,
 and a search follows only edges within the radius.
@@ -15,6 +15,7 @@ entry, so copies do not multiply. Of the links found, a task passes on a spannin
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ids_and_texts, texts_of
+from ledgerloom.llm.common import SIEVE_KEYS, ids_and_texts, texts_of, without
 from ledgerloom.llm.components import smallest_reachable
 from ledgerloom.plans.shared import Stored
 
@@ -34,8 +35,6 @@ PART_SIZE = 4096
 SHARD_ROWS = 50_000
 
 _CHUNK = 1 << 15
-#: Stand-ins for the missing ids of fingerprints that only rows without an id have start here.
-_NO_ID = 1 << 62
 _ROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fingerprint", pa.int64())])
 
 
@@ -128,7 +127,7 @@ class BKForest:
 def _forest_links(radius: int):
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         names, node = np.unique(pdf["rep"].to_numpy(), return_inverse=True)
-        units = np.unique(pdf[["bucket", "low", "high"]].to_numpy(), axis=0, return_inverse=True)[1].ravel()
+        units = pdf.groupby(["bits", "pair", "low", "high"]).ngroup().to_numpy()
         codes = pdf["fingerprint"].to_numpy().view(np.uint64)
         member = ~pdf["query_only"].to_numpy()
         asks = (pdf["low"] == pdf["high"]).to_numpy() | ~member
@@ -145,6 +144,10 @@ def _forest_links(radius: int):
     return find
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after joining a[i] with b[i]: every node gets the smallest index of its set."""
     while True:
@@ -164,11 +167,14 @@ def near_links(distinct: DataFrame, radius: int = MAX_BITS, part_size: int = PAR
     Pairs within the radius are connected by the returned links; they are a spanning forest per
     task, so there are fewer links than members however dense a group is.
     """
-    blocks = radius + 1
+    blocks = radius + 2
     cuts = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [((1 << cuts[k + 1]) - (1 << cuts[k])) for k in range(blocks)]
+    pairs = list(combinations(range(blocks), 2))
+    # the bits of both blocks where they stand, and which pair it is
     value = F.array(*[
-        F.shiftrightunsigned("fingerprint", cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1) * blocks + k
-        for k in range(blocks)
+        F.struct(F.col("fingerprint").bitwiseAND(_signed(masks[i] | masks[j])).alias("bits"), F.lit(k).alias("pair"))
+        for k, (i, j) in enumerate(pairs)
     ])
     spread = distinct.select("fingerprint", "rep", F.explode(value).alias("bucket"))
     sizes = spread.groupBy("bucket").count().filter("count > 1")
@@ -178,12 +184,12 @@ def near_links(distinct: DataFrame, radius: int = MAX_BITS, part_size: int = PAR
     )
     against = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     units = Stored(against.select(
-        "bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
+        "bucket.bits", "bucket.pair", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
         (F.col("part") > F.col("other")).alias("query_only"), "fingerprint", "rep",
     ), "bk-units")
     shards = max(1, -(-units.frame.count() // SHARD_ROWS))
     links = Stored(
-        units.frame.groupBy(F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(shards)).alias("shard"))
+        units.frame.groupBy(F.pmod(F.xxhash64("bits", "pair", "low", "high"), F.lit(shards)).alias("shard"))
         .applyInPandas(_forest_links(radius), "a bigint, b bigint"),
         "bk-links",
     )
@@ -200,37 +206,38 @@ def near_duplicates(
     component_id is the smallest doc_id that is reachable over fingerprints at most `radius` bits
     apart. Defined results: null, empty and blank texts have fingerprint 0 and link like any other;
     rows with a null id get the component of the rows they link with, or null if none of these has an
-    id (`group` tells such groups apart); repeated rows give repeated results; an empty table gives no
-    rows; other columns are ignored. Ids are below 2**62.
+    id (`group`, the smallest fingerprint as a signed long, tells such groups apart); repeated rows give
+    repeated results; an empty table gives no rows; other columns are ignored.
     """
     prints = Stored(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints").frame
-    stand_in = F.shiftrightunsigned(F.xxhash64("fingerprint"), 2) + _NO_ID
-    distinct = Stored(
-        prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
-        .select("fingerprint", F.coalesce("rep", stand_in).alias("rep")),
-        "distinct-fingerprints",
-    )
-    components = smallest_reachable(near_links(distinct.frame, radius, part_size))
-    named = Stored(
-        distinct.frame.join(components, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "rep").alias("group")),
-        "components",
+    distinct = Stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    components = smallest_reachable(near_links(distinct.frame.select("fingerprint", F.col("fingerprint").alias("rep")), radius, part_size))
+    grouped = Stored(
+        distinct.frame.join(components, F.col("fingerprint") == F.col("node"), "left")
+        .select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("group")),
+        "groups",
     )
     distinct.drop()
+    smallest = grouped.frame.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    named = Stored(grouped.frame.select("fingerprint", "group").join(smallest, "group"), "components")
+    grouped.drop()
     return prints.join(named.frame, "fingerprint").select(
-        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
-        F.when(F.col("group") < _NO_ID, F.col("group")).alias("component_id"), "text_hash", "group",
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "group",
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = MAX_BITS) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = MAX_BITS,
+    sieve_keys: int = SIEVE_KEYS,
+) -> DataFrame:
     """The rows of `docs`, with all columns, of one document per group: the smallest id that is not null,
-    then the smallest text_hash. Rows repeated in full are one document, and all of them stay."""
+    then the smallest text_hash. Rows repeated in full are one document, and all of them stay. Defined results: null,
+    empty and blank texts are one group; an empty table stays empty; other columns may have any name."""
     found = Stored(near_duplicates(docs, id_col, text_col, shingle_words, radius), "near").frame
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = found.groupBy("group").agg(F.min(rank).alias("first"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    lost = found.join(first, "group").filter(rank != F.col("first")).select("doc_id", "text_hash").distinct()
-    return docs.alias("d").join(
-        lost.alias("x"),
-        F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("x.doc_id")) & (text_hash(F.col(f"d.`{text_col}`").cast("string")) == F.col("x.text_hash")),
-        "left_anti",
+    lost = Stored(found.join(first, "group").filter(rank != F.col("first")).select("doc_id", "text_hash").distinct(), "lost-near").frame
+    same = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("x.doc_id")) & (
+        text_hash(F.col(f"d.`{text_col}`").cast("string")) == F.col("x.text_hash")
     )
+    return without(docs, F.col(f"`{id_col}`").cast("long"), lost, F.col("doc_id"), same, sieve_keys)

@@ -6,9 +6,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpus_pipeline import documents
 from ledgerloom.llm import golomb
+from ledgerloom.llm.common import possible_matches, without
 from ledgerloom.llm.components import smallest_reachable
 from ledgerloom.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from ledgerloom.llm.simhash import (
@@ -19,6 +21,7 @@ from ledgerloom.llm.simhash import (
     near_links,
     text_fingerprint,
 )
+from ledgerloom.plans.shared import Stored
 from tests.llm import edge_cases
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -168,6 +171,56 @@ def test_near_edge_cases(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_ids_without_a_limit(spark):
+    largest = 2**63 - 1
+    rows = [(largest, "one two three four", "en", "s", 0), (None, "one two three four", "en", "s", 0), (2**62, "five six", "en", "s", 0),
+            (-(2**63), "five  SIX", "en", "s", 0), (None, "seven eight nine", "en", "s", 0)]
+    found = near_duplicates(edge_cases.frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter(
+        [(largest, largest), (None, largest), (2**62, -(2**63)), (-(2**63), -(2**63)), (None, None)]
+    )
+    left = drop_near_duplicates(edge_cases.frame(spark, rows)).collect()
+    assert Counter(r.doc_id for r in left) == Counter([largest, -(2**63), None])
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 5])
+def test_links_at_every_radius(spark, radius):
+    rng = np.random.default_rng(radius)
+    centres = rng.integers(0, 2**63, 20, dtype=np.uint64)
+    codes = {int(c) for c in centres}
+    for centre in centres:
+        for _ in range(10):
+            flips = rng.choice(64, rng.integers(0, radius + 3), replace=False)
+            codes.add(int(centre) ^ sum(1 << int(b) for b in flips))
+    numbered = {c: k for k, c in enumerate(sorted(codes))}
+    signed = [(c - 2**64 if c >> 63 else c, k) for c, k in numbered.items()]
+    found = dict(smallest_reachable(near_links(spark.createDataFrame(signed, "fingerprint long, rep long"), radius)).collect())
+    assert {k: found.get(k, k) for k in numbered.values()} == {numbered[c]: r for c, r in components_by_hand(numbered, radius).items()}
+
+
+def test_sieve_and_plain_joins_agree(spark):
+    docs = edge_cases.frame(spark)
+    for sieve_keys in (0, 4_000_000):
+        exact = exact_duplicates(docs, sieve_keys=sieve_keys).collect()
+        mine = Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact)
+        assert mine == Counter(exact_by_hand([(r[0], r[1]) for r in edge_cases.rows()]))
+    rows = [Counter(map(str, drop(docs, sieve_keys=k).collect())) for drop in (drop_exact_duplicates, drop_near_duplicates) for k in (0, 4_000_000)]
+    assert rows[0] == rows[1] and rows[2] == rows[3]
+
+
+def test_sieve_keeps_every_match_and_few_others(spark):
+    rows = spark.range(200_000).selectExpr("if(id = 7, null, id) as k")
+    wanted = Stored(rows.filter("k is null or k % 10 = 0"), "sieve-test").frame
+    kept = {r.k for r in possible_matches(rows, F.col("k"), wanted, F.col("k")).collect()}
+    assert kept >= {None, *range(0, 200_000, 10)} and len(kept) < 30_000
+    same = F.col("d.k").eqNullSafe(F.col("x.k"))
+    left = {r.k for r in without(rows, F.col("k"), wanted, F.col("k"), same).collect()}
+    assert left == {i for i in range(200_000) if i % 10 and i != 7}
+    none = Stored(rows.filter("k < 0"), "sieve-none").frame
+    assert possible_matches(rows, F.col("k"), none, F.col("k")).count() == 0
+    assert without(rows, F.col("k"), none, F.col("k"), same).count() == 200_000
+
+
 def test_near_whole_table(spark):
     docs = documents(spark, SF_DIR)
     found = check_near(docs)
