@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the
 columns of documents; the last returns the token ids. run() stores every stage as Parquet.
+
+Defined results of every stage: an empty table stays empty; other columns may have any name and come
+through unchanged, the last stage drops them; a null id is an id like any other, and rows that share
+one are separate documents unless a stage says otherwise.
 """
 
 from __future__ import annotations
@@ -16,28 +20,37 @@ from ledgerloom.plans.shared import Stored
 
 
 def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose main language has at least half of them; texts without letters go."""
+    """Documents whose main language has at least half of them; null and empty texts and those without letters go.
+
+    Rows repeated in full get the same decision. Nothing learned (no labelled row): all go.
+    """
     model = language.fit_languages(docs.filter(~held_out(F.col("doc_id"))))
     return language.keep_identified(docs, model)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for the case of A-Z, the one with the largest id."""
+    """Of texts that are equal but for the case of A-Z, the one with the largest id; null equals empty.
+
+    Of rows repeated in full one stays; a null id loses against any other.
+    """
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the one with the smallest id."""
+    """Of each group of near copies, the one with the smallest id that is not null, then the smallest text hash.
+
+    Texts without words are one group; rows repeated in full are one document and all stay.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; null, empty and wordless texts stay, as all do with an empty benchmark."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, n_chars, round_trip and ids of every document."""
+    """doc_id, n_tokens, ids_crc32, n_chars, round_trip and ids of every row, repeated ones too; null is an empty text."""
     return pieces.round_trips(docs, PIECE_MODEL, with_ids=True)
 
 
