@@ -304,3 +304,28 @@ def test_halving_keeps_the_best_trials(spark):
     assert halved[0][0] == full[0][0] and halved[0][1] == pytest.approx(full[0][1])
     stopped = tuning.random_search(*sides, "id", "y", "boosted_validated", trials=3, space=space)
     assert all(p["trees"] <= 12 for p, _ in stopped) and stopped[0][1] <= stopped[-1][1]
+
+
+def test_independent_fits_run_side_by_side():
+    from threading import Barrier
+
+    both_run = Barrier(2, timeout=30)
+    found = train.fit_side_by_side({n: lambda n=n: (both_run.wait(), n)[1] for n in ("a", "b")})
+    assert found == {"a": "a", "b": "b"}
+
+
+def test_fits_and_scores_derive_the_applicants_once(spark, monkeypatch):
+    from ledgerloom.catalog import model_queries
+
+    calls = []
+
+    def derived(session, sf_dir):
+        calls.append(sf_dir)
+        return session.range(3).selectExpr("id as unique_id", "id as last_updated", "id as transaction_date")
+
+    monkeypatch.setattr(model_queries, "applicants", derived)
+    at = model_queries._Session.__new__(model_queries._Session)
+    at.spark, at.sf_dir, at.state = spark, "own rows", ("test", spark.sparkContext.applicationId)
+    assert model_queries._rows(at).columns == ["unique_id"]
+    assert model_queries._applicants(at).count() == model_queries._rows(at).count() == 3
+    assert calls == ["own rows"]
