@@ -123,6 +123,45 @@ def test_repeats_reach_the_windows_of_hot_anchors(spark):
     assert sortable([tuple(r) for r in remove_repeats(docs, hot_segments=3).collect()]) == sortable(removed_by_hand(rows))
 
 
+@pytest.mark.parametrize("width", [20, 35, 49])
+def test_runs_of_many_texts_are_those_of_each(width):
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (0, 49, 50, 0, 51, 400, 7, 0, 1200, 50, 3)]
+    owner, first, last, hashes = suffix_dedup.runs_of_texts(texts, 50, width)
+    for k, text in enumerate(texts):
+        assert all(np.array_equal(a, b[owner == k]) for a, b in zip(anchor_runs(text, 50, width), (first, last, hashes), strict=True))
+    assert len(suffix_dedup.runs_of_texts([b"", b"short"], 50, width)[0]) == 0
+
+
+def test_content_hashes_tell_parts_apart():
+    rng = random.Random(7)
+    parts = [bytes(rng.choice(b"ab") for _ in range(rng.choice([8, 9, 15, 16, 17, 50, 80]))) for _ in range(3000)]
+    parts += [b"\0" * n for n in range(8, 40)] + parts[:50] + [p[:-1] + bytes([p[-1] ^ 128]) for p in parts[:50]]
+    sizes = np.array([len(p) for p in parts])
+    found = suffix_dedup.content_hashes(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    assert len(set(zip(found.tolist(), parts, strict=True))) == len(set(parts)) == len(set(found.tolist()))
+
+
+def test_a_hot_anchor_is_cut_at_wider_grams_and_not_into_windows(spark, monkeypatch):
+    rng = random.Random(9)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, passage = words(20), words(70)
+    texts = [words(60) + common + words(60) + (passage if k % 9 == 0 else "") for k in range(120)]
+    texts += [t[20:110] + words(30) for t in texts[:30]]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    split = []
+    single = suffix_dedup._single_windows
+
+    def counted(segments, length):
+        split.append(segments.count())
+        return single(segments, length)
+
+    monkeypatch.setattr(suffix_dedup, "_single_windows", counted)
+    found = remove_repeats(docs, hot_segments=20).collect()
+    assert sortable([tuple(r) for r in found]) == sortable(removed_by_hand([(k, t.encode()) for k, t in enumerate(texts, 1)]))
+    assert split == []
+
+
 def test_length_must_exceed_an_anchor(spark):
     with pytest.raises(ValueError):
         remove_repeats(edge_cases.frame(spark), length=20)
