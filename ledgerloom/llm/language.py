@@ -33,6 +33,8 @@ PENALTY = 4.0
 UNDETERMINED = "und"
 
 _CHUNK = 1 << 19  # characters handled at once
+#: Numbers in a table of (cell, language) that the mixtures of several documents share; one document may need more.
+_TABLE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -186,7 +188,7 @@ def _name(model: LanguageModel, texts: Iterator[str | None]) -> Iterator[tuple[s
     for text in texts:
         held.append(_cell_counts(text or ""))
         size += len(held[-1][0])
-        if size > 1 << 18:
+        if size * len(model.languages) > _TABLE:
             yield from _named(model, held)
             held, size = [], 0
     yield from _named(model, held)
@@ -205,19 +207,22 @@ def _named(model: LanguageModel, held: list[tuple]) -> Iterator[tuple[str, float
 
 
 def _predicted(docs: DataFrame, model: LanguageModel, text_col: str) -> DataFrame:
-    """_row (all columns of a row), lang_pred, score."""
+    """_row (all columns of a row), lang_pred, score. A text travels to Python once, unless it is no string there."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col) if docs.schema[text_col].dataType == T.StringType() else None
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_name(shared.value, texts_of(batch, "_text")))
+            whole = batch.column(0)
+            texts = batch if place is None else pa.record_batch([whole.field(place)], names=["_text"])
+            found = list(_name(shared.value, texts_of(texts, "_text")))
             yield pa.record_batch(
-                [batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                [whole, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=["_row", "lang_pred", "score"],
             )
 
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), whole)
+    rows = docs.select(whole, *[F.col(f"`{text_col}`").cast("string").alias("_text")] * (place is None))
     schema = T.StructType([rows.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(predict, schema)
 

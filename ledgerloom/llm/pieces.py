@@ -30,6 +30,8 @@ SPACE = "▁"
 UNKNOWN_COST = 10.0
 CACHED_WORDS = 300_000
 MAX_MODEL_BYTES = 64 << 20
+#: Ids held before they are passed on.
+HELD_IDS = 1 << 17
 
 _NEVER = -1e8  # scores below mark pieces that a model keeps for its own use
 
@@ -220,7 +222,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             for i, text in enumerate(texts_of(batch)):
                 held.append(codec.encode(text or ""))
                 size += len(held[-1])
-                if size > 1 << 20 or i == batch.num_rows - 1:
+                if size > HELD_IDS or i == batch.num_rows - 1:
                     yield pa.record_batch([batch.column(0).slice(first, len(held)), _id_lists(held)], schema=_ENCODED)
                     held, first, size = [], i + 1, 0
 
@@ -268,7 +270,7 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
                 rows.append((doc_id, len(ids), zlib.crc32(ids.tobytes()), len(text or ""), codec.decode(ids) == (text or "")))
                 held.append(ids)
                 size += len(ids)
-                if size > 1 << 20:
+                if size > HELD_IDS:
                     yield batch_of(rows, held)
                     rows, held, size = [], [], 0
             if rows:

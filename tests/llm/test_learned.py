@@ -1,5 +1,7 @@
 """Language mixtures and quality ranking: edge cases and held-out accuracy."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +57,30 @@ def test_counts_of_a_long_text_are_those_of_its_whole(monkeypatch):
     assert set(whole[0]) <= set(parts[0]) and whole[2] == parts[2]
 
 
+def test_memory_of_mixtures_does_not_follow_the_languages(monkeypatch):
+    rng = np.random.default_rng(5)
+    weights = rng.random((language.CELLS, 64)) + 0.1
+    model = language.LanguageModel(tuple(f"l{k:02d}" for k in range(64)), weights / weights.sum(axis=0))
+    texts = ["".join(map(chr, rng.integers(97, 123, 600))) for _ in range(60)]
+    language._letters()
+    tracemalloc.start()
+    named = list(language._name(model, iter(texts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
+    monkeypatch.setattr(language, "_TABLE", 1 << 30)
+    assert named == list(language._name(model, iter(texts)))
+
+
+def test_texts_that_are_no_strings_are_read_as_such(spark, model):
+    docs = edge_cases.frame(spark)
+    as_bytes = docs.withColumn("text", F.col("text").cast("binary"))
+    kept = language.keep_identified(as_bytes, model)
+    assert kept.schema == as_bytes.schema
+    assert sorted(map(str, kept.select("doc_id").collect())) == sorted(
+        map(str, language.keep_identified(docs, model).select("doc_id").collect()))
+
+
 def likelihood_by_hand(model, cells, counts, share):
     return float((counts * np.log(model.probabilities[cells] @ share)).sum())
 
