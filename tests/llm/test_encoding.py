@@ -1,6 +1,7 @@
 """Pieces and token files: brute force, the libraries themselves, exact round trips."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -55,6 +56,51 @@ def test_encoding_is_the_best_segmentation(codec):
         assert codec.encode(text).tolist() == best_by_hand(codec.vocabulary, text)
 
 
+def new_words(count, seed):
+    rng = random.Random(seed)
+    letters = "aeinorstaeinorstdlu.ÅéЖ日\U0001f600\x00" + pieces.SPACE
+    return ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 9, 20, 63, 64, 65, 70]))) for _ in range(count)]
+
+
+def test_parts_side_by_side_are_those_of_the_stream(codec, monkeypatch):
+    monkeypatch.setattr(pieces, "SEARCH_CHARS", 100)
+    monkeypatch.setattr(pieces, "GROUP_CHARS", 1000)
+    parts = new_words(600, 3)
+    for part, ids in zip(parts, codec.side_by_side.ids_of(parts), strict=True):
+        stream = pieces.ViterbiStream(codec.vocabulary)
+        assert np.frombuffer(ids, "<u4").tolist() == stream.feed(part) + stream.finish()
+    texts = ["", *(f"{a} {b}\n{c}" for a, b, c in zip(parts, parts[1:], parts[2:])), ""]
+    encoded = list(pieces.PieceCodec(pieces.read_model(PIECE_MODEL)).encode_all(iter(texts)))
+    assert [codec.encode(t).tolist() for t in texts] == [x.tolist() for x in encoded]
+    assert [codec.decode(x) for x in encoded] == texts
+
+
+def test_remembered_parts_stay_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 50)
+    monkeypatch.setattr(pieces, "GROUP_CHARS", 200)
+    small, texts = pieces.PieceCodec(pieces.read_model(PIECE_MODEL)), new_words(500, 4)
+    assert [small.decode(x) for x in small.encode_all(texts)] == texts
+    assert len(small.known) < 50 + 200 and len(small.earlier) < 50 + 200
+
+
+def test_new_words_take_less_time_than_by_the_stream(codec):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeinorstdlucmp") for _ in range(10)) for _ in range(20_000)]
+
+    def seconds(work):
+        start = time.process_time()
+        work()
+        return time.process_time() - start
+
+    def streamed():
+        stream = pieces.ViterbiStream(codec.vocabulary)
+        for word in words:
+            stream.feed(f"{pieces.SPACE}{word}") + stream.finish()
+
+    fresh = pieces.PieceCodec(pieces.read_model(PIECE_MODEL))
+    assert seconds(lambda: list(fresh.encode_all([" ".join(words)]))) < 0.7 * seconds(streamed)
+
+
 def test_stream_in_any_portions(codec):
     rng = random.Random(1)
     for text in samples():
