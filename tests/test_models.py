@@ -1,8 +1,11 @@
 """Trained models: better than the mean, stable, saved and loaded, streamed."""
 
+from threading import Barrier
+
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.catalog import model_queries
 from ledgerloom.catalog.applicants import applicants
 from ledgerloom.operators import encode, evaluate, train, tuning
 from ledgerloom.plans import applicant_models as models
@@ -329,3 +332,29 @@ def test_fits_and_scores_derive_the_applicants_once(spark, monkeypatch):
     assert model_queries._rows(at).columns == ["unique_id"]
     assert model_queries._applicants(at).count() == model_queries._rows(at).count() == 3
     assert calls == ["own rows"]
+
+
+def test_combined_scorers_are_fitted_side_by_side(spark, monkeypatch):
+    """Each fit waits for the other to begin."""
+    met, given = Barrier(2, timeout=20), []
+
+    def fit(name):
+        def run(at):
+            met.wait()
+            return name, None
+        return run
+
+    class Scored(Exception):
+        pass
+
+    def score(rows, income, repayment):
+        given.extend([rows, income, repayment])
+        raise Scored
+
+    monkeypatch.setattr(model_queries, "_applicants", lambda at: "rows")
+    monkeypatch.setattr(model_queries, "_income", fit("income"))
+    monkeypatch.setattr(model_queries, "_both", fit("both"))
+    monkeypatch.setattr(models, "score_combined", score)
+    with pytest.raises(Scored):
+        model_queries.score_combined(spark, SF_DIR)
+    assert given == ["rows", "income", "both"]
